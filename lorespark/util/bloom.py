@@ -14,8 +14,9 @@ BITS_PER_KEY, MAX_BITS, HASHES = 10, 1 << 26, 4  # MAX_BITS: 8 MiB
 
 
 def _positions(key: Column, bits: int) -> list[Column]:
-    a, b = F.xxhash64(key), F.xxhash64(key, F.lit("second"))
-    return [a.bitwiseXOR(F.shiftleft(b, i) + b * F.lit(i)).bitwiseAND(F.lit(bits - 1)) if i else a.bitwiseAND(F.lit(bits - 1)) for i in range(HASHES)]
+    """HASHES positions from the halves of two 64-bit hashes."""
+    pair = F.xxhash64(key), F.xxhash64(key, F.lit("second"))
+    return [x.bitwiseAND(F.lit(bits - 1)) for h in pair for x in (h, F.shiftrightunsigned(h, 32))]
 
 
 class Bloom:
@@ -40,5 +41,6 @@ class Bloom:
         hit = F.lit(True)
         for p in _positions(key, self.bits):
             word = F.get(self.words, F.shiftrightunsigned(p, 6).cast("int"))
-            hit = hit & (F.shiftrightunsigned(word, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+            bit = F.call_function("shiftrightunsigned", word, p.bitwiseAND(F.lit(63)).cast("int"))
+            hit = hit & (bit.bitwiseAND(F.lit(1)) == 1)
         return F.when(key.isNotNull(), hit)
