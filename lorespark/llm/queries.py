@@ -5,13 +5,77 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.functions.paths import page_key
+from lorespark.functions.versions import version_key
+from lorespark.llm.lookalikes import canonical_names, lookalike_pairs
 from lorespark.llm.packing import containers, pack
 from lorespark.llm.spans import SharedSpans
+from lorespark.llm.splitting import split_oversized
+from lorespark.llm.survivors import filled_count, survivors
 from lorespark.llm.tokenizer import count_tokens, encode_corpus
 from lorespark.plans.tables import table
 from lorespark.util.scratch import Scratch
 
 
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    a = split_oversized(table(spark, d, "skd_composition_result"), "skd_composition_result", "item_id", ["description", "code_snippet"])
+    return a.unionByName(split_oversized(table(spark, d, "api_topics"), "api_topics", "id", ["text"]))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items of which the operator made more than one piece."""
+    return p1_pieces(spark, d).where("pieces > 1 and piece = 0").select("tab", "item_id", "field")
+
+
+def _names(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    api = table(spark, d, "api_objects").select(F.col("id").cast("string").alias("key"), F.col("full_name").alias("name"))
+    objects = table(spark, d, "objects").select(F.col("config_name").alias("scope"), "object_type", F.col("id").alias("key"), "name").distinct()
+    return api, objects
+
+
+def p3_names(spark: SparkSession, d: str) -> DataFrame:
+    """Every name with its consistent form."""
+    api, objects = _names(spark, d)
+    return canonical_names(api.select("name").unionByName(objects.select("name")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    scratch = Scratch(spark)
+    api, objects = _names(spark, d)
+    objects = scratch.save(objects)
+    forms = scratch.save(canonical_names(api.select("name").unionByName(objects.select("name")), scratch))
+    a = lookalike_pairs(api, forms, []).select(F.lit("api_objects").alias("tab"), F.lit("").alias("scope"), "key_a", "key_b")
+    b = lookalike_pairs(objects, forms, ["scope", "object_type"]).select(F.lit("objects").alias("tab"), "scope", "key_a", "key_b")
+    return a.unionByName(b.distinct())
+
+
+def _topics(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "api_topics")
+    rank = [version_key("version"), filled_count(t, ["title", "text", "entity_type", "breadcrumb"]), F.col("loaded_at")]
+    return survivors(t, page_key("path"), "id", rank, ["title", "text", "version", "language", "entity_type", "breadcrumb", "hbk_label"])
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "api_members")
+    highest = F.array_max(F.transform(F.array_append(F.coalesce("versions", F.array().cast("array<string>")), F.col("version")), version_key))
+    rank = [highest, filled_count(m, ["summary", "description", "syntax", "returns"]), F.col("loaded_at")]
+    name = F.when(F.col("full_name").isNotNull(), F.to_json(F.struct(F.lower(F.regexp_replace("full_name", r"(?U)\s+", "")).alias("n"), F.col("language").alias("l"))))
+    return survivors(m, name, "id", rank, ["full_name", "kind", "summary", "description", "syntax", "version", "versions", "returns", "params"])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [f(spark, d).where("n > 1").select(F.lit(t).alias("tab"), "group_id", "best_id") for t, f in (("api_topics", _topics), ("api_members", _members))]
+    return parts[0].unionByName(parts[1])
+
+
+def p5_topics(spark: SparkSession, d: str) -> DataFrame:
+    return _topics(spark, d)
+
+
+def p5_members(spark: SparkSession, d: str) -> DataFrame:
+    return _members(spark, d)
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -53,5 +117,5 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "begin", "end", "first_doc")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_counts, p8_found, p8_pack, p8_containers, p9_found, p9_shared, p9_passages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_names, p5_found, p5_topics, p5_members, p7_ids, p7_counts, p8_found, p8_pack, p8_containers, p9_found, p9_shared, p9_passages)}
 ORACLE: dict[str, str] = {}
