@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.plans import core_problems
+from lorespark.plans import core_problems, search
 
-MODULES = (core_problems,)
+BOOKS = (search.q,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: f for b in BOOKS for k, f in b.queries.items()} | core_problems.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in m.ORACLE.items()}
+    return {k: s for b in BOOKS for k, s in b.oracle.items()} | core_problems.ORACLE
