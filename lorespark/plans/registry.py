@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.plans import core_problems, search
+from lorespark.plans import catalogue, core_problems, search
 
-BOOKS = (search.q,)
+BOOKS = (search.q, catalogue.q)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
