@@ -37,7 +37,7 @@ SCRIPT_WORDS = [
     "Процедура", "Функция", "КонецПроцедуры", "КонецФункции", "Запрос", "Выполнить", "Новый ", "Возврат", "Для ",
     "Цикл", "КонецЦикла", "Если ", "Тогда", "КонецЕсли", "Пока ", "Попытка", "Исключение",
 ]
-INSTRUCTION_TITLE = r"(?i)^(как\s+|инструкция|руководство|настройка|восстановление|установка|методика|решение\s+проблемы|ошибка|troubleshooting)"
+INSTRUCTION_TITLE = r"(?iu)^(как\s+|инструкция|руководство|настройка|восстановление|установка|методика|решение\s+проблемы|ошибка|troubleshooting)"
 # Owners whose members belong to no type.
 GLOBAL_OWNERS = ["глобальный контекст", "встроенные функции языка"]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.util.bloom import Bloom
 from lorespark.util.scratch import Scratch
 from lorespark.util.skew import lookup_join
 
@@ -24,36 +25,36 @@ def resolve_hierarchy(nodes: DataFrame, scratch: Scratch | None = None) -> DataF
     """
     scratch = scratch or Scratch(nodes.sparkSession)
     start = nodes.where("node is not null").groupBy("node").agg(F.max_by(F.struct("parent", "label"), F.struct("parent", "label")).alias("x"))
-    start = scratch.save(start.select("node", "x.*"))
-    known = start.select(F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    first = lookup_join(start, known, "parent")
-    itself = F.array(F.struct(F.col("node").alias("id"), "label"))
-    top = F.col("_known").isNull()
-    first = first.select(
+    start = start.select("node", "x.*")
+    top = F.col("parent").isNull()
+    first = start.select(
         "node",
         F.when(top, F.col("node")).otherwise(F.col("parent")).alias("ptr"),
         F.when(top, 0).otherwise(1).alias("dist"),
-        itself.alias("path"),
-        (top & F.col("parent").isNotNull()).alias("dangling"),
+        F.array(F.struct(F.col("node").alias("id"), "label")).alias("path"),
+        F.lit(False).alias("dangling"),
         top.alias("closed"),
     )
     state = scratch.save(first)
-    scratch.drop(start)
     closed, active = [state.where("closed")], state.where("not closed")
     left = active.count()
     while left:
         every = active
         for part in closed:
             every = every.unionByName(part)
-        jump = every.select(F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"), F.col("path").alias("_path"), F.col("dangling").alias("_dangling"), F.col("closed").alias("_closed"))
+        # only nodes that an open pointer may name need to meet the pointers
+        named = Bloom(active, F.col("ptr"), left)
+        jump = every.where(named.may_hold(F.col("node")))
+        jump = jump.select(F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"), F.col("path").alias("_path"), F.col("dangling").alias("_dangling"), F.col("closed").alias("_closed"))
+        lost = F.col("_ptr").isNull()
         step = lookup_join(active, jump, "ptr").select(
             "node",
-            F.col("_ptr").alias("ptr"),
-            (F.col("dist") + F.col("_dist")).alias("dist"),
-            # what hangs on a cycle would double its path without end
-            F.concat("_path", "path").alias("path"),
-            F.col("_dangling").alias("dangling"),
-            F.col("_closed").alias("closed"),
+            # a pointer to no node: the chain ends at the first node of the path
+            F.when(lost, F.col("path")[0]["id"]).otherwise(F.col("_ptr")).alias("ptr"),
+            F.when(lost, F.col("dist") - 1).otherwise(F.col("dist") + F.col("_dist")).alias("dist"),
+            F.when(lost, F.col("path")).otherwise(F.concat("_path", "path")).alias("path"),
+            F.when(lost, True).otherwise(F.col("_dangling")).alias("dangling"),
+            F.when(lost, True).otherwise(F.col("_closed")).alias("closed"),
         )
         step = scratch.save(step)
         before, left = left, step.where("not closed").count()

@@ -23,7 +23,8 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     list of hot keys is bounded by HOT_KEYS, so it may be broadcast. A null key matches nothing.
     """
     hot = F.broadcast(hot_keys(left, key))
-    salt = F.pmod(F.xxhash64(*[c for c, t in left.dtypes if not t.startswith("map")]), F.lit(salts)).cast("int")
+    plain = [c for c, t in left.dtypes if not t.startswith(("map", "array", "struct"))]
+    salt = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
     spread = left.join(hot, F.col(key) == F.col("_hot"), "left")
     spread = spread.withColumn("_salt", F.when(F.col("_hot").isNotNull(), salt).otherwise(F.lit(0))).drop("_hot")
     copies = right.join(hot, F.col(key) == F.col("_hot"), "left")
