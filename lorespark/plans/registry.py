@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespark.plans import catalogue, core_problems, quality, search, textual
+from lorespark.plans import catalogue, core_problems, planner, quality, search, textual
 
-BOOKS = (search.q, catalogue.q, quality.q, textual.q)
+BOOKS = (search.q, catalogue.q, quality.q, textual.q, planner.q)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
