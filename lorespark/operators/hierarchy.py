@@ -5,47 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.util.bloom import Bloom
 from lorespark.util.scratch import Scratch
 from lorespark.util.skew import lookup_join
 
 
-def resolve_hierarchy(nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(node, root, depth, path, cyclic, dangling) of nodes (node, parent, label), one row per node.
-
-    Each round replaces every open pointer by the pointer of the node it points to, so the distance covered doubles and
-    the path segments are put together; a chain of length n takes about log2 n rounds. If a round closes no chain,
-    none of the open ones can ever close: a chain longer than the distance covered has an ancestor at every smaller
-    distance, which would have closed. What is left open runs into a cycle.
-
-    path is an array of (id, label) from the root to the node; for nodes on or below a cycle root, depth and path are
-    null. A parent that is no node ends the chain: the child counts as a root with dangling = true, and so does a null
-    parent with dangling = false. Rows with a null node are left out, of repeated nodes one is kept; an empty table
-    gives no rows. Hot parents are salted.
-    """
-    scratch = scratch or Scratch(nodes.sparkSession)
-    start = nodes.where("node is not null").groupBy("node").agg(F.max_by(F.struct("parent", "label"), F.struct("parent", "label")).alias("x"))
-    start = start.select("node", "x.*")
+def _double(start: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
+    """Pointer doubling over (node, parent, label): (closed parts, what stays open); see resolve_hierarchy()."""
     top = F.col("parent").isNull()
-    first = start.select(
-        "node",
-        F.when(top, F.col("node")).otherwise(F.col("parent")).alias("ptr"),
-        F.when(top, 0).otherwise(1).alias("dist"),
-        F.array(F.struct(F.col("node").alias("id"), "label")).alias("path"),
-        F.lit(False).alias("dangling"),
-        top.alias("closed"),
+    state = scratch.save(
+        start.select(
+            "node",
+            F.when(top, F.col("node")).otherwise(F.col("parent")).alias("ptr"),
+            F.when(top, 0).otherwise(1).alias("dist"),
+            F.array(F.struct(F.col("node").alias("id"), "label")).alias("path"),
+            F.lit(False).alias("dangling"),
+            top.alias("closed"),
+        )
     )
-    state = scratch.save(first)
     closed, active = [state.where("closed")], state.where("not closed")
     left = active.count()
     while left:
         every = active
         for part in closed:
             every = every.unionByName(part)
-        # only nodes that an open pointer may name need to meet the pointers
-        named = Bloom(active, F.col("ptr"), left)
-        jump = every.where(named.may_hold(F.col("node")))
-        jump = jump.select(F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"), F.col("path").alias("_path"), F.col("dangling").alias("_dangling"), F.col("closed").alias("_closed"))
+        jump = every.select(F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"), F.col("path").alias("_path"), F.col("dangling").alias("_dangling"), F.col("closed").alias("_closed"))
         lost = F.col("_ptr").isNull()
         step = lookup_join(active, jump, "ptr").select(
             "node",
@@ -63,10 +46,44 @@ def resolve_hierarchy(nodes: DataFrame, scratch: Scratch | None = None) -> DataF
             break
         closed.append(step.where("closed"))
         active = step.where("not closed")
-    out = active.select("node", F.lit(None).cast(start.schema["node"].dataType).alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast(state.schema["path"].dataType).alias("path"), F.lit(True).alias("cyclic"), F.lit(False).alias("dangling"))
+    return closed, active
+
+
+def resolve_hierarchy(nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(node, root, depth, path, cyclic, dangling) of nodes (node, parent, label), one row per node.
+
+    Each round replaces every open pointer by the pointer of the node it points to, so the distance covered doubles and
+    the path segments are put together; a chain of length n takes about log2 n rounds. If a round closes no chain,
+    none of the open ones can ever close: a chain longer than the distance covered has an ancestor at every smaller
+    distance, which would have closed. What is left open runs into a cycle. Pointers only ever name nodes that have
+    children, so the rounds run over these; the leaves, most of a tree, are put under their parents by one join.
+
+    path is an array of (id, label) from the root to the node; for nodes on or below a cycle root, depth and path are
+    null. A parent that is no node ends the chain: the child counts as a root with dangling = true, and so does a null
+    parent with dangling = false. Rows with a null node are left out, of repeated nodes one is kept; an empty table
+    gives no rows. Hot parents are salted.
+    """
+    scratch = scratch or Scratch(nodes.sparkSession)
+    start = nodes.where("node is not null").groupBy("node").agg(F.max_by(F.struct("parent", "label"), F.struct("parent", "label")).alias("x")).select("node", "x.*")
+    parents = nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    start = scratch.save(start.join(parents, "node", "left").withColumn("inner", F.coalesce("inner", F.lit(False))))
+    closed, open_ = _double(start.where("inner").drop("inner"), scratch)
+    inner = open_.select("node", F.lit(None).cast(start.schema["node"].dataType).alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast(open_.schema["path"].dataType).alias("path"), F.lit(True).alias("cyclic"), F.lit(False).alias("dangling"))
     for part in closed:
-        out = out.unionByName(part.select("node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), "path", F.lit(False).alias("cyclic"), "dangling"))
-    return out
+        inner = inner.unionByName(part.select("node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), "path", F.lit(False).alias("cyclic"), "dangling"))
+    above = inner.select(F.col("node").alias("parent"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("cyclic").alias("_cyclic"), F.col("dangling").alias("_dangling"))
+    leaves = lookup_join(start.where("not inner").drop("inner"), above, "parent")
+    own = F.array(F.struct(F.col("node").alias("id"), "label"))
+    alone = F.col("_cyclic").isNull()
+    leaves = leaves.select(
+        "node",
+        F.when(alone, F.col("node")).otherwise(F.col("_root")).alias("root"),
+        F.when(alone, 0).otherwise(F.col("_depth") + 1).alias("depth"),
+        F.when(alone, own).otherwise(F.concat("_path", own)).alias("path"),
+        F.coalesce("_cyclic", F.lit(False)).alias("cyclic"),
+        F.when(alone, F.col("parent").isNotNull()).otherwise(F.col("_dangling")).alias("dangling"),
+    )
+    return inner.unionByName(leaves)
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
