@@ -12,25 +12,23 @@ from lorespark.util.skew import lookup_join
 def _double(start: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
     """Pointer doubling over (node, parent, label): (closed parts, what stays open); see resolve_hierarchy()."""
     top = F.col("parent").isNull()
-    state = scratch.save(
-        start.select(
-            "node",
-            F.when(top, F.col("node")).otherwise(F.col("parent")).alias("ptr"),
-            F.when(top, 0).otherwise(1).alias("dist"),
-            F.array(F.struct(F.col("node").alias("id"), "label")).alias("path"),
-            F.lit(False).alias("dangling"),
-            top.alias("closed"),
-        )
+    first = start.select(
+        "node",
+        F.when(top, F.col("node")).otherwise(F.col("parent")).alias("ptr"),
+        F.when(top, 0).otherwise(1).alias("dist"),
+        F.array(F.struct(F.col("node").alias("id"), "label")).alias("path"),
+        F.lit(False).alias("dangling"),
+        top.alias("closed"),
     )
-    closed, active = [state.where("closed")], state.where("not closed")
-    left = active.count()
+    state, n = scratch.save_counting(first, left=F.count_if(~F.col("closed")))
+    closed, active, left = [state.where("closed")], state.where("not closed"), n["left"]
     while left:
         every = active
         for part in closed:
             every = every.unionByName(part)
         jump = every.select(F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("dist").alias("_dist"), F.col("path").alias("_path"), F.col("dangling").alias("_dangling"), F.col("closed").alias("_closed"))
         lost = F.col("_ptr").isNull()
-        step = lookup_join(active, jump, "ptr").select(
+        step = lookup_join(active, jump, "ptr", total=left).select(
             "node",
             # a pointer to no node: the chain ends at the first node of the path
             F.when(lost, F.col("path")[0]["id"]).otherwise(F.col("_ptr")).alias("ptr"),
@@ -39,8 +37,8 @@ def _double(start: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFr
             F.when(lost, True).otherwise(F.col("_dangling")).alias("dangling"),
             F.when(lost, True).otherwise(F.col("_closed")).alias("closed"),
         )
-        step = scratch.save(step)
-        before, left = left, step.where("not closed").count()
+        step, n = scratch.save_counting(step, left=F.count_if(~F.col("closed")))
+        before, left = left, n["left"]
         if left == before:
             scratch.drop(step)
             break
@@ -66,13 +64,14 @@ def resolve_hierarchy(nodes: DataFrame, scratch: Scratch | None = None) -> DataF
     scratch = scratch or Scratch(nodes.sparkSession)
     start = nodes.where("node is not null").groupBy("node").agg(F.max_by(F.struct("parent", "label"), F.struct("parent", "label")).alias("x")).select("node", "x.*")
     parents = nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
-    start = scratch.save(start.join(parents, "node", "left").withColumn("inner", F.coalesce("inner", F.lit(False))))
+    start = start.join(parents, "node", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
+    start, n = scratch.save_counting(start, leaves=F.count_if(~F.col("inner")))
     closed, open_ = _double(start.where("inner").drop("inner"), scratch)
     inner = open_.select("node", F.lit(None).cast(start.schema["node"].dataType).alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast(open_.schema["path"].dataType).alias("path"), F.lit(True).alias("cyclic"), F.lit(False).alias("dangling"))
     for part in closed:
         inner = inner.unionByName(part.select("node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), "path", F.lit(False).alias("cyclic"), "dangling"))
     above = inner.select(F.col("node").alias("parent"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("cyclic").alias("_cyclic"), F.col("dangling").alias("_dangling"))
-    leaves = lookup_join(start.where("not inner").drop("inner"), above, "parent")
+    leaves = lookup_join(start.where("not inner").drop("inner"), above, "parent", total=n["leaves"])
     own = F.array(F.struct(F.col("node").alias("id"), "label"))
     alone = F.col("_cyclic").isNull()
     leaves = leaves.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions.canonical import guid
@@ -10,6 +10,7 @@ from lorespark.operators.hierarchy import descendants, resolve_hierarchy
 from lorespark.operators.references import dangling_owners, dangling_relations, orphan_report
 from lorespark.operators.snapshots import snapshot_changes
 from lorespark.plans.tables import table
+from lorespark.util.bloom import Bloom
 from lorespark.util.scratch import Scratch
 from lorespark.util.skew import lookup_join
 
@@ -39,19 +40,38 @@ def _toc_nodes(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("id").alias("node"), F.when(F.col("parent_id") != 0, F.col("parent_id")).alias("parent"), F.struct("title_ru", "title_en").alias("label"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    scratch = Scratch(spark)
-    catalog = resolve_hierarchy(_catalog_nodes(spark, d), scratch)
-    refs = table(spark, d, "catalog_properties").select("ref", guid("ref").alias("node")).where("node is not null").distinct()
-    circular = refs.join(catalog.where("cyclic").select("node"), "node", "left_semi")
-    found = circular.select(F.lit("catalog_properties").alias("tab"), F.col("ref").alias("node"))
+_LABEL = "struct<title_ru: string, title_en: string>"
+
+
+def _trees(spark: SparkSession, d: str, scratch: Scratch | None = None) -> DataFrame:
+    """Both hierarchies resolved together; a node is `table|id`, the label of a catalogue node is its name."""
+    mark = lambda tab, c: F.concat(F.lit(tab + "|"), F.col(c).cast("string")).alias(c)
+    catalog = _catalog_nodes(spark, d).select(mark("catalog_properties", "node"), mark("catalog_properties", "parent"), F.struct(F.col("label").alias("title_ru"), F.lit(None).cast("string").alias("title_en")).cast(_LABEL).alias("label"))
+    toc = _toc_nodes(spark, d).select(mark("toc_chunks", "node"), mark("toc_chunks", "parent"), F.col("label").cast(_LABEL).alias("label"))
+    return resolve_hierarchy(catalog.unionByName(toc), scratch)
+
 
-    toc = resolve_hierarchy(_toc_nodes(spark, d), scratch)
-    found = found.unionByName(toc.where("cyclic").select(F.lit("toc_chunks").alias("tab"), F.col("node").cast("string").alias("node")))
+def _tab(node: str) -> tuple[Column, Column]:
+    return F.substring_index(node, "|", 1), F.regexp_extract(node, "^[^|]*[|](.*)$", 1)
 
-    topics = table(spark, d, "api_topics").where("toc_id is not null and size(breadcrumb) > 0").select("id", F.col("toc_id").alias("node"), "breadcrumb", F.coalesce(F.col("language") == "en", F.lit(False)).alias("en"))
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    scratch = Scratch(spark)
+    trees = _trees(spark, d, scratch)
+    tab, node = _tab("node")
+    circular, n = scratch.save_counting(trees.where("cyclic").select(tab.alias("tab"), node.alias("node")), all=F.count(F.lit(1)))
+    found = circular.where("tab = 'toc_chunks'").select("tab", "node")
+
+    # the refs as they were delivered
+    names = circular.where("tab = 'catalog_properties'").select("node")
+    maybe = Bloom(names, F.col("node"), n["all"])
+    refs = table(spark, d, "catalog_properties").select("ref", guid("ref").alias("node")).where(maybe.may_hold(F.col("node"))).distinct()
+    found = found.unionByName(refs.join(names, "node", "left_semi").select(F.lit("catalog_properties").alias("tab"), F.col("ref").alias("node")))
+
+    topics = table(spark, d, "api_topics").where("toc_id is not null and size(breadcrumb) > 0").select("id", F.col("toc_id").cast("string").alias("node"), "breadcrumb", F.coalesce(F.col("language") == "en", F.lit(False)).alias("en"))
     above = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
-    titles = toc.where("not cyclic").select("node", F.transform(above, lambda x: x["label"]["title_ru"]).alias("ru"), F.transform(above, lambda x: x["label"]["title_en"]).alias("titles_en"))
+    toc = trees.where("not cyclic and node like 'toc_chunks|%'")
+    titles = toc.select(node.alias("node"), F.transform(above, lambda x: x["label"]["title_ru"]).alias("ru"), F.transform(above, lambda x: x["label"]["title_en"]).alias("titles_en"))
     met = lookup_join(topics, titles, "node")
     right = F.when(F.col("en"), F.col("titles_en")).otherwise(F.col("ru"))
     return found.unionByName(met.where(~F.col("breadcrumb").eqNullSafe(right)).select(F.lit("api_topics").alias("tab"), F.col("id").cast("string").alias("node")))
@@ -59,18 +79,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     """Path, depth and root of every node of both hierarchies; nulls for what hangs on a cycle."""
-    catalog, toc = resolve_hierarchy(_catalog_nodes(spark, d)), resolve_hierarchy(_toc_nodes(spark, d))
-    a = catalog.select(F.lit("catalog_properties").alias("tab"), "node", "root", "depth", F.array_join(F.transform("path", lambda x: x["label"]), "/", "?").alias("path"), "cyclic", "dangling")
-    b = toc.select(F.lit("toc_chunks").alias("tab"), F.col("node").cast("string").alias("node"), F.col("root").cast("string").alias("root"), "depth", F.array_join(F.transform("path", lambda x: x["label"]["title_ru"]), "/", "?").alias("path"), "cyclic", "dangling")
-    return a.unionByName(b)
+    tab, node = _tab("node")
+    path = F.array_join(F.transform("path", lambda x: x["label"]["title_ru"]), "/", "?")
+    return _trees(spark, d).select(tab.alias("tab"), node.alias("node"), _tab("root")[1].alias("root"), "depth", path.alias("path"), "cyclic", "dangling")
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every (ancestor, node, distance) of both hierarchies."""
-    a = descendants(resolve_hierarchy(_catalog_nodes(spark, d)))
-    b = descendants(resolve_hierarchy(_toc_nodes(spark, d)))
-    text = [F.col(c).cast("string").alias(c) for c in ("ancestor", "node")]
-    return a.select(F.lit("catalog_properties").alias("tab"), *text, "distance").unionByName(b.select(F.lit("toc_chunks").alias("tab"), *text, "distance"))
+    tab, node = _tab("node")
+    return descendants(_trees(spark, d)).select(tab.alias("tab"), _tab("ancestor")[1].alias("ancestor"), node.alias("node"), "distance")
 
 
 def _p6(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +47,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def save_counting(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """save() that also counts on the way, without another pass over the rows."""
+        seen = Observation()
+        out = self.save(df.observe(seen, *[c.alias(k) for k, c in counts.items()]))
+        out_counts = seen.get
+        return out, {k: int(out_counts.get(k) or 0) for k in counts}
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete the files of tables given by save() that nothing reads any more."""
         for t in tables:

@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 HOT_KEYS = 64
 
 
-def hot_keys(left: DataFrame, key: str) -> DataFrame:
-    """Keys that hold at least 1 / HOT_KEYS of the rows of `left` (never more than HOT_KEYS of them)."""
+def hot_keys(left: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """Keys that hold at least 1 / HOT_KEYS of the `total` rows of `left` (never more than HOT_KEYS of them)."""
     counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n"))
-    total = left.agg(F.count("*").alias("_t")).scalar()
-    return counts.where(F.col("_n") * HOT_KEYS >= total).select("_hot")
+    whole = left.agg(F.count("*").alias("_t")).scalar() if total is None else F.lit(total)
+    return counts.where(F.col("_n") * HOT_KEYS >= whole).select("_hot")
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", salts: int = 16, total: int | None = None) -> DataFrame:
     """left ⋈ right on `key` (same name on both sides), right unique by key.
 
     Hot keys of the left side are spread over `salts` partitions and the right rows of just these keys repeated; the
-    list of hot keys is bounded by HOT_KEYS, so it may be broadcast. A null key matches nothing.
+    list of hot keys is bounded by HOT_KEYS, so it may be broadcast. A null key matches nothing. total is the number
+    of rows of the left side where it is known.
     """
-    hot = F.broadcast(hot_keys(left, key))
+    hot = F.broadcast(hot_keys(left, key, total))
     plain = [c for c, t in left.dtypes if not t.startswith(("map", "array", "struct"))]
     salt = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
     spread = left.join(hot, F.col(key) == F.col("_hot"), "left")
