@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespark.util.bloom import Bloom
 from lorespark.util.scratch import Scratch
 from lorespark.util.skew import lookup_join
 
@@ -47,42 +48,42 @@ def _double(start: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFr
     return closed, active
 
 
-def resolve_hierarchy(nodes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def resolve_hierarchy(nodes: DataFrame, scratch: Scratch | None = None, order: list[str] | None = None) -> DataFrame:
     """(node, root, depth, path, cyclic, dangling) of nodes (node, parent, label), one row per node.
 
     Each round replaces every open pointer by the pointer of the node it points to, so the distance covered doubles and
     the path segments are put together; a chain of length n takes about log2 n rounds. If a round closes no chain,
     none of the open ones can ever close: a chain longer than the distance covered has an ancestor at every smaller
     distance, which would have closed. What is left open runs into a cycle. Pointers only ever name nodes that have
-    children, so the rounds run over these; the leaves, most of a tree, are put under their parents by one join.
+    children, so the rounds run over these (by a Bloom filter of the parents, whose false positives do no harm), and
+    in the end every node is put under its parent by one join.
 
     path is an array of (id, label) from the root to the node; for nodes on or below a cycle root, depth and path are
     null. A parent that is no node ends the chain: the child counts as a root with dangling = true, and so does a null
-    parent with dangling = false. Rows with a null node are left out, of repeated nodes one is kept; an empty table
-    gives no rows. Hot parents are salted.
+    parent with dangling = false. Rows with a null node are left out; of repeated nodes the row that is last in the
+    columns `order` is kept (default: parent, label). An empty table gives no rows. Hot parents are salted.
     """
     scratch = scratch or Scratch(nodes.sparkSession)
-    start = nodes.where("node is not null").groupBy("node").agg(F.max_by(F.struct("parent", "label"), F.struct("parent", "label")).alias("x")).select("node", "x.*")
-    parents = nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
-    start = start.join(parents, "node", "left").withColumn("inner", F.coalesce("inner", F.lit(False)))
-    start, n = scratch.save_counting(start, leaves=F.count_if(~F.col("inner")))
-    closed, open_ = _double(start.where("inner").drop("inner"), scratch)
-    inner = open_.select("node", F.lit(None).cast(start.schema["node"].dataType).alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast(open_.schema["path"].dataType).alias("path"), F.lit(True).alias("cyclic"), F.lit(False).alias("dangling"))
+    last = F.max_by(F.struct("parent", "label"), F.struct(*(order or ["parent", "label"])))
+    start = nodes.where("node is not null").groupBy("node").agg(last.alias("x")).select("node", "x.*")
+    start, n = scratch.save_counting(start, below=F.count_if(F.col("parent").isNotNull()))
+    named = Bloom(start, F.col("parent"), n["below"])
+    closed, open_ = _double(start.where(named.may_hold(F.col("node"))), scratch)
+    above = open_.select(F.col("node").alias("parent"), F.lit(None).cast(start.schema["node"].dataType).alias("_root"), F.lit(None).cast("int").alias("_depth"), F.lit(None).cast(open_.schema["path"].dataType).alias("_path"), F.lit(True).alias("_cyclic"), F.lit(False).alias("_dangling"))
     for part in closed:
-        inner = inner.unionByName(part.select("node", F.col("ptr").alias("root"), F.col("dist").alias("depth"), "path", F.lit(False).alias("cyclic"), "dangling"))
-    above = inner.select(F.col("node").alias("parent"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("cyclic").alias("_cyclic"), F.col("dangling").alias("_dangling"))
-    leaves = lookup_join(start.where("not inner").drop("inner"), above, "parent", total=n["leaves"])
+        above = above.unionByName(part.select(F.col("node").alias("parent"), F.col("ptr").alias("_root"), F.col("dist").alias("_depth"), F.col("path").alias("_path"), F.lit(False).alias("_cyclic"), F.col("dangling").alias("_dangling")))
     own = F.array(F.struct(F.col("node").alias("id"), "label"))
+    roots = start.where("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), own.alias("path"), F.lit(False).alias("cyclic"), F.lit(False).alias("dangling"))
     alone = F.col("_cyclic").isNull()
-    leaves = leaves.select(
+    below = lookup_join(start.where("parent is not null"), above, "parent", total=n["below"]).select(
         "node",
         F.when(alone, F.col("node")).otherwise(F.col("_root")).alias("root"),
         F.when(alone, 0).otherwise(F.col("_depth") + 1).alias("depth"),
         F.when(alone, own).otherwise(F.concat("_path", own)).alias("path"),
         F.coalesce("_cyclic", F.lit(False)).alias("cyclic"),
-        F.when(alone, F.col("parent").isNotNull()).otherwise(F.col("_dangling")).alias("dangling"),
+        F.coalesce("_dangling", F.lit(True)).alias("dangling"),
     )
-    return inner.unionByName(leaves)
+    return roots.unionByName(below)
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

@@ -24,14 +24,12 @@ def p2_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _catalog_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """(node, parent, label) of properties, objects and configurations; of a repeated ref the latest delivery."""
-    props = table(spark, d, "catalog_properties").select(guid("ref").alias("node"), guid("owner").alias("parent"), F.col("name").alias("label"), F.lit(2).alias("rank"), "loaded_at", F.col("row_id").alias("tie"))
+    """(node, parent, label, rank, loaded_at, tie) of every delivered property, object and configuration."""
     nobody, tie = F.lit(None).cast("string"), F.lit(None).cast("long")
+    props = table(spark, d, "catalog_properties").select(guid("ref").alias("node"), guid("owner").alias("parent"), F.col("name").alias("label"), F.lit(2).alias("rank"), "loaded_at", F.col("row_id").alias("tie"))
     objs = table(spark, d, "catalog_objects").select(guid("ref").alias("node"), nobody.alias("parent"), F.col("name").alias("label"), F.lit(1).alias("rank"), "loaded_at", tie.alias("tie"))
     confs = table(spark, d, "crawl_results").select(guid("config_ref").alias("node"), nobody.alias("parent"), F.col("config_name").alias("label"), F.lit(0).alias("rank"), F.col("delivered_at").alias("loaded_at"), tie.alias("tie"))
-    rows = props.unionByName(objs).unionByName(confs).where("node is not null")
-    last = rows.groupBy("node").agg(F.max_by(F.struct("parent", "label"), F.struct("rank", "loaded_at", "tie")).alias("x"))
-    return last.select("node", "x.*")
+    return props.unionByName(objs).unionByName(confs)
 
 
 def _toc_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -44,15 +42,20 @@ _LABEL = "struct<title_ru: string, title_en: string>"
 
 
 def _trees(spark: SparkSession, d: str, scratch: Scratch | None = None) -> DataFrame:
-    """Both hierarchies resolved together; a node is `table|id`, the label of a catalogue node is its name."""
+    """Both hierarchies resolved together; a node is `letter|id`, the label of a catalogue node is its name.
+
+    Of a repeated ref the latest delivery counts, a property before an object before a configuration.
+    """
     mark = lambda tab, c: F.concat(F.lit(tab + "|"), F.col(c).cast("string")).alias(c)
-    catalog = _catalog_nodes(spark, d).select(mark("catalog_properties", "node"), mark("catalog_properties", "parent"), F.struct(F.col("label").alias("title_ru"), F.lit(None).cast("string").alias("title_en")).cast(_LABEL).alias("label"))
-    toc = _toc_nodes(spark, d).select(mark("toc_chunks", "node"), mark("toc_chunks", "parent"), F.col("label").cast(_LABEL).alias("label"))
-    return resolve_hierarchy(catalog.unionByName(toc), scratch)
+    rest = ["rank", "loaded_at", "tie"]
+    label = F.struct(F.col("label").alias("title_ru"), F.lit(None).cast("string").alias("title_en")).cast(_LABEL)
+    catalog = _catalog_nodes(spark, d).select(mark("p", "node"), mark("p", "parent"), label.alias("label"), *rest)
+    toc = _toc_nodes(spark, d).select(mark("t", "node"), mark("t", "parent"), F.col("label").cast(_LABEL).alias("label"), *[F.lit(None).cast(catalog.schema[c].dataType).alias(c) for c in rest])
+    return resolve_hierarchy(catalog.unionByName(toc), scratch, rest)
 
 
 def _tab(node: str) -> tuple[Column, Column]:
-    return F.substring_index(node, "|", 1), F.regexp_extract(node, "^[^|]*[|](.*)$", 1)
+    return F.when(F.startswith(F.col(node), F.lit("p|")), "catalog_properties").otherwise("toc_chunks"), F.substr(F.col(node), F.lit(3))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +73,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
     topics = table(spark, d, "api_topics").where("toc_id is not null and size(breadcrumb) > 0").select("id", F.col("toc_id").cast("string").alias("node"), "breadcrumb", F.coalesce(F.col("language") == "en", F.lit(False)).alias("en"))
     above = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
-    toc = trees.where("not cyclic and node like 'toc_chunks|%'")
+    toc = trees.where("not cyclic and node like 't|%'")
     titles = toc.select(node.alias("node"), F.transform(above, lambda x: x["label"]["title_ru"]).alias("ru"), F.transform(above, lambda x: x["label"]["title_en"]).alias("titles_en"))
     met = lookup_join(topics, titles, "node")
     right = F.when(F.col("en"), F.col("titles_en")).otherwise(F.col("ru"))
