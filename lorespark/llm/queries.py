@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.paths import page_key
 from lorespark.functions.versions import version_key
-from lorespark.llm.lookalikes import canonical_names, lookalike_pairs
+from lorespark.llm.lookalikes import LOOKALIKES, canonical_names, lookalike_pairs
 from lorespark.llm.packing import containers, pack
 from lorespark.llm.spans import SharedSpans
 from lorespark.llm.splitting import split_oversized
@@ -118,4 +118,35 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_names, p5_found, p5_topics, p5_members, p7_ids, p7_counts, p8_found, p8_pack, p8_containers, p9_found, p9_shared, p9_passages)}
-ORACLE: dict[str, str] = {}
+
+_VK = "(case when trim(coalesce({v}, '')) = '' then cast([] as bigint[]) else list_transform(string_split(trim({v}), '.'), lambda x: coalesce(try_cast(trim(x) as bigint), 0)) end)"
+_LONG = "length(trim({c}, ' ' || chr(9) || chr(13) || chr(10) || chr(160))) > 1200"
+# composed letters that look alike through their base letter
+_FROM = "".join(LOOKALIKES) + "ЁёЇїÀ"
+_TO = "".join(LOOKALIKES.values()) + "ËëÏïÀ"
+_WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+
+
+def _fold(c: str) -> str:
+    seen = rf"nfc_normalize(regexp_replace({c}, '[\x{{ad}}\x{{34f}}\p{{Cf}}]', '', 'g'))"
+    trimmed = rf"regexp_replace(regexp_replace({seen}, '[\p{{Zs}}]', ' ', 'g'), '^ +| +$', '', 'g')"
+    return f"trim(nfc_normalize(translate(translate({trimmed}, '{_WIDE}', '{_NARROW}'), '{_FROM}', '{_TO}')))"
+
+
+_SPACE = r"\s\x{a0}"
+_KEY = rf"""regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(url_decode(replace(regexp_replace(trim(path), '(?s)#.*$', ''), '+', '%2B')), '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'), '[\\/]+', '/', 'g')), '^(?:[./]+|[0-9]+(?:\.[0-9]+)+/)+', ''), '\.(html|htm|md)$', '')"""
+_ON = "(trim(coalesce({c}, ''), ' ' || chr(9) || chr(13) || chr(10) || chr(160)) <> '')::int"
+
+ORACLE: dict[str, str] = {
+    "p1_found": " union all ".join(
+        f"select '{tab}' tab, {key} item_id, '{c}' field from {tab} where {_LONG.format(c=c)}" for tab, key, c in (("skd_composition_result", "item_id", "description"), ("skd_composition_result", "item_id", "code_snippet"), ("api_topics", "id", "text"))
+    ),
+    "p3_found": f"""with a as (select cast(id as varchar) k, full_name n, {_fold("full_name")} f from api_objects where full_name is not null),
+o as (select distinct config_name s, object_type t, id k, name n, {_fold("name")} f from objects where name is not null)
+select distinct 'api_objects' tab, '' as scope, least(x.k, y.k) key_a, greatest(x.k, y.k) key_b from a x join a y on x.f = y.f and x.n < y.n and x.k <> y.k
+union all select distinct 'objects', x.s, least(x.k, y.k), greatest(x.k, y.k) from o x join o y on x.s = y.s and x.t = y.t and x.f = y.f and x.n < y.n and x.k <> y.k""",
+    "p5_found": f"""with t as (select id, {_KEY} k, {_VK.format(v="version")} v, {_ON.format(c="title")} + {_ON.format(c="text")} + {_ON.format(c="entity_type")} + (len(coalesce(breadcrumb, [])) > 0)::int f, loaded_at from api_topics where path is not null),
+m as (select id, lower(regexp_replace(full_name, '[{_SPACE}]+', '', 'g')) k, language l, list_max(list_transform(list_append(coalesce(versions, []), version), lambda w: {_VK.format(v="w")})) v, {" + ".join(_ON.format(c=c) for c in ("summary", "description", "syntax", "returns"))} f, loaded_at from api_members where full_name is not null)
+select 'api_topics' tab, min(id) group_id, arg_max(id, (v, f, loaded_at, id)) best_id from t group by k having count(*) > 1
+union all select 'api_members', min(id), arg_max(id, (v, f, loaded_at, id)) from m group by k, l having count(*) > 1""",
+}

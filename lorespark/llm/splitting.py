@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,15 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 1200, 120
-BLANKS = " \t\r\n "
+BLANKS = " \t\r\n\xa0"
 #: Strength of a boundary, the weakest is merged first.
 HARD, WORD, SENTENCE, STATEMENT, LINE, PARAGRAPH = range(6)
 KINDS = ("hard", "word", "sentence", "statement", "line", "paragraph")
 _NATURAL = re.compile(
-    r"(?P<paragraph>(?:\r\n|\r|\n)[ \t ]*(?:(?:\r\n|\r|\n)[ \t ]*)+)"
+    r"(?P<paragraph>(?:\r\n|\r|\n)[ \t\xa0]*(?:(?:\r\n|\r|\n)[ \t\xa0]*)+)"
     r"|(?P<line>\r\n|\r|\n)"
-    r"|(?P<statement>;[ \t ]*(?=[^\r\n])|\b(?:КонецПроцедуры|КонецФункции|КонецЕсли|КонецЦикла|EndProcedure|EndFunction|EndIf|EndDo)\b[ \t]*(?=[^\r\n;]))"
-    r"|(?P<sentence>[.!?…]+[\"'»”)\]]*[ \t ]+)"
+    r"|(?P<statement>;[ \t\xa0]*(?=[^\r\n])|\b(?:КонецПроцедуры|КонецФункции|КонецЕсли|КонецЦикла|EndProcedure|EndFunction|EndIf|EndDo)\b[ \t]*(?=[^\r\n;]))"
+    r"|(?P<sentence>[.!?…]+[\"'»”)\]]*[ \t\xa0]+)"
 )
 _WORD = re.compile(r"\s+")
 
@@ -42,7 +43,7 @@ def _boundaries(text: str, start: int, end: int, most: int) -> tuple[list[int],
         while at - last > most:
             cut = last + most
             # a mark or the second half of CR LF stays with what it belongs to
-            while cut > last + 1 and (text[cut : cut + 1] in "̧́̆̈‍️" and text[cut : cut + 1] or text[cut - 1 : cut + 1] == "\r\n"):
+            while cut > last + 1 and (cut < len(text) and unicodedata.category(text[cut])[0] == "M" or text[cut - 1 : cut + 1] == "\r\n"):
                 cut -= 1
             cuts.append(cut)
             strengths.append(HARD)
