@@ -135,17 +135,33 @@ b as (select 'catalog_properties' tab, row_id, 'owner' field,
 f as (select * from a union all select * from b where kind is not null)
 """
 
+# a JSON value as the sorted list of its leaves and containers
+_LEAVES = "(select coalesce(string_agg(fullkey || ' ' || type || ' ' || coalesce(atom ->> '$', ''), chr(1) order by fullkey), '') from json_tree(coalesce({a}, '{{}}')))"
+
 _P2 = f"""
-with s as (select config_name c, config_version v, row_number() over (partition by config_name order by {_VK.format(v="config_version")}, config_version) o
-           from (select distinct config_name, config_version from objects)),
-l as (select config_name c, config_version v, id, arg_max(coalesce(attributes, '{{}}')::json, delivered_at) a from objects group by all),
-e as (select c, v, o, id, a from l join s using (c, v)),
-flat as (select * from e),
-x as (select coalesce(n.c, b.c) c, coalesce(n.o, b.o + 1) o, coalesce(n.id, b.id) id, n.id ni, b.id bi, n.a na, b.a ba
-      from (select * from flat where o > 1) n full join (select * from flat) b on n.c = b.c and n.o = b.o + 1 and n.id = b.id)
+with s as (select config_name c, config_version v, row_number() over (partition by config_name order by {_VK.format(v="config_version")}, config_version) o from (select distinct config_name, config_version from objects)),
+l as (select config_name c, config_version v, id, arg_max(coalesce(attributes, '{{}}'), delivered_at) a from objects where id is not null group by all),
+e as (select c, o, id, {_LEAVES.format(a="a")} a from l join s using (c, v)),
+x as (select coalesce(n.c, b.c) c, coalesce(n.o, b.o + 1) o, coalesce(n.id, b.id) id, case when b.id is null then 'added' when n.id is null then 'removed' when n.a <> b.a then 'changed' end change
+      from (select * from e where o > 1) n full join (select e.* from e where o < (select max(o) from s where s.c = e.c)) b on n.c = b.c and n.o = b.o + 1 and n.id = b.id)
+"""
+
+_P4 = f"""
+with recursive pr as (select {_guid("ref")} r, arg_max({_guid("owner")}, (loaded_at, row_id)) o from catalog_properties group by 1),
+ob as (select distinct {_guid("ref")} r from catalog_objects), cf as (select distinct {_guid("config_ref")} r from crawl_results),
+n as (select r, o from pr union all select r, null from ob where r not in (select r from pr) union all select r, null from cf where r not in (select r from pr) and r not in (select r from ob)),
+ok as (select r from n where o is null or o not in (select r from n) union all select n.r from n join ok on n.o = ok.r),
+t as (select id, title_ru, title_en, cast([] as varchar[]) ru, cast([] as varchar[]) en from toc_chunks where parent_id = 0 or parent_id is null or parent_id not in (select id from toc_chunks)
+      union all select c.id, c.title_ru, c.title_en, list_append(t.ru, t.title_ru), list_append(t.en, t.title_en) from toc_chunks c join t on c.parent_id = t.id)
 """
 
 ORACLE = {
+    "p2_found": _P2 + "select s.c config_name, s.v config_version, id, change from x join s using (c, o) where change is not null",
+    "p2_summary": _P2 + "select s.c config_name, s.v config_version, change, count(*) n from x join s using (c, o) where change is not null group by all",
+    "p4_found": _P4
+    + f"""select 'catalog_properties' tab, ref node from (select distinct ref from catalog_properties) where {_guid("ref")} not in (select r from ok)
+union all select 'toc_chunks', cast(id as varchar) from toc_chunks where id not in (select id from t)
+union all select 'api_topics', cast(a.id as varchar) from api_topics a left join t on a.toc_id = t.id where toc_id is not null and len(breadcrumb) > 0 and breadcrumb is distinct from case when language = 'en' then t.en else t.ru end""",
     "p6_found": _P6 + "select tab, row_id, field, kind from f",
     "p6_report": _P6 + "select tab, strftime(seen_at, '%Y-%m') as month, field, kind, count(*) n from f group by all",
 }

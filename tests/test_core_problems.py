@@ -20,7 +20,7 @@ T = dt.datetime(2024, 1, 1)
 
 
 def vkey(v):
-    v = (v or "").strip(" \t\r\n ")
+    v = (v or "").strip(" \t\r\n\xa0")
     return tuple(int(x) if x.strip().isdigit() else 0 for x in v.split(".")) if v else ()
 
 
@@ -29,7 +29,7 @@ def rows(df):
 
 
 def test_version_key(spark):
-    given = ["8.3", " 8.3.1 ", None, "", "8.x.2", "10.1", " 8.3"]
+    given = ["8.3", "\xa08.3.1 ", None, "", "8.x.2", "10.1", " 8.3"]
     df = spark.createDataFrame([(v,) for v in given], "v string").select("v", version_key("v").alias("k"))
     assert [(r.v, tuple(r.k)) for r in df.collect()] == [(v, vkey(v)) for v in given]
 
