@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import strip, text_or_empty
+from lorespark.functions.text import let, strip, text_or_empty
 
 MAX_CHUNK, OVERLAP = 1400, 250
 #: Allowed sizes; values outside are set to the nearest end.
@@ -18,11 +18,14 @@ def clamp(value: int, ends: tuple[int, int]) -> int:
 
 def chunks(text: Column | str, size: int = MAX_CHUNK, overlap: int = OVERLAP) -> Column:
     """Array of chunks; [] for blank text, one chunk if it fits. The overlap is at most half a chunk."""
-    body = strip(text)
     stride = size - min(max(0, overlap), size // 2)
-    n = F.when(F.length(body) == 0, 0).when(F.length(body) <= size, 1).otherwise(1 + F.ceil((F.length(body) - size) / stride)).cast("int")
-    every = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(body, i * stride + 1, F.lit(size)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(every)
+
+    def cut(body: Column) -> Column:
+        n = F.when(F.length(body) == 0, 0).when(F.length(body) <= size, 1).otherwise(1 + F.ceil((F.length(body) - size) / stride)).cast("int")
+        every = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(body, i * stride + 1, F.lit(size)))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(every)
+
+    return let(strip(text), cut)
 
 
 def chunk_rows(rows: DataFrame, text: str, size: int = MAX_CHUNK, overlap: int = OVERLAP) -> DataFrame:

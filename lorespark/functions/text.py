@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -46,6 +47,11 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often the body (and lambdas in it) name it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
+
+
 def text_or_empty(value: Column | str) -> Column:
     return F.coalesce(col(value), F.lit(""))
 
@@ -76,8 +82,13 @@ def tokens(value: Column | str) -> Column:
 def keywords(value: Column | str, most: int = 50) -> Column:
     """Identifiers of three characters or more, first spelling of each, letter case ignored."""
     found = F.regexp_extract_all(text_or_empty(value), F.lit(KEYWORD), F.lit(0))
-    low = F.transform(found, F.lower)
-    return F.transform(F.slice(F.array_distinct(low), 1, most), lambda t: F.element_at(found, F.array_position(low, t).cast("int")))
+    return let(found, lambda f: _first_spellings(f, most))
+
+
+def _first_spellings(words: Column, most: int) -> Column:
+    """The words that differ in more than letter case, each as it is first written."""
+    pick = lambda low: F.transform(F.slice(F.array_distinct(low), 1, most), lambda t: F.element_at(words, F.array_position(low, t).cast("int")))
+    return let(F.transform(words, lambda x: F.lower(x)), pick)
 
 
 def keyword_tokens(value: Column | str, most: int = 8) -> Column:
@@ -85,8 +96,7 @@ def keyword_tokens(value: Column | str, most: int = 8) -> Column:
     q = text_or_empty(value)
     whole = F.array_distinct(F.filter(F.regexp_extract_all(q, F.lit(QUALIFIED), F.lit(0)), lambda t: F.length(t) >= 5))
     words = F.filter(F.regexp_extract_all(q, F.lit("[А-Яа-яA-Za-z][А-Яа-яA-Za-z0-9]*"), F.lit(0)), lambda t: F.length(t) >= 3)
-    low = F.transform(words, F.lower)
-    first = F.transform(F.array_distinct(low), lambda t: F.element_at(words, F.array_position(low, t).cast("int")))
+    first = let(words, lambda w: _first_spellings(w, most))
     return F.slice(F.concat(whole, first), 1, most)
 
 

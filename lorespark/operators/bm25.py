@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import TOKEN, tokens
+from lorespark.functions.text import TOKEN, let, tokens
+from lorespark.util.scratch import Scratch
 
 K1, B = 1.5, 0.75
 
@@ -54,22 +55,22 @@ def doc_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
 def search(docs: DataFrame, key: str, text: str, query: str, limit: int | None = 10, keep: list[str] | None = None, idf_power: int = 1) -> DataFrame:
     """(key, keep…, score) of the best documents, greatest score first, then the least key; limit None gives all hits.
 
-    Two scans and no shuffle of postings: the first sums up lengths and document frequencies of the query's terms to
-    one row, the second scores every document where it lies and keeps the best. idf_power 2 weighs terms twice.
+    The texts are scanned once and no postings are shuffled: each document is reduced, where it lies, to its length
+    and its counts of the query's terms; the documents that hold a term are kept in a scratch table while the lengths
+    and document frequencies of all are counted on the way. idf_power 2 weighs terms twice.
     """
     terms = query_terms(query)
     keep = keep or []
     if not terms:
         return docs.select(key, *keep, F.lit(0.0).alias("score")).limit(0)
-    cut = docs.select(key, *keep, tokens(text).alias("_t")).withColumn("_dl", F.size("_t"))
-    counts = [F.count_if(F.array_contains("_t", t)).alias(f"d{i}") for i, t in enumerate(terms)]
-    stats = cut.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *counts)
-    one = stats.select(F.struct("*").alias("s")).scalar()
+    counted = lambda t: F.struct(F.size(t).alias("dl"), F.array(*[F.size(F.filter(t, _equals(x))) for x in terms]).alias("tf"))
+    cut = docs.select(key, *keep, let(tokens(text), counted).alias("_s")).select(key, *keep, F.col("_s.dl").alias("_dl"), F.col("_s.tf").alias("_tf"))
+    dfs = {f"d{i}": F.count_if(F.col("_tf")[i] > 0) for i in range(len(terms))}
+    hits, n = Scratch(docs.sparkSession).save_counting(cut, lambda df: df.where(F.exists("_tf", lambda x: x > 0)), n=F.count(F.lit(1)), dl=F.sum("_dl"), **dfs)
+    avgdl = F.lit(n["dl"] / n["n"] if n["n"] else 0.0)
     parts = []
-    for i, t in enumerate(terms):
-        tf = F.size(F.filter("_t", _equals(t)))
-        weight = idf(one[f"d{i}"], one["n"])
-        parts.append(F.when(tf > 0, doc_weight(tf, F.col("_dl"), one["avgdl"]) * (weight if idf_power == 1 else weight * weight)).otherwise(F.lit(0.0)))
-    scored = cut.select(key, *keep, F.round(sum(parts[1:], parts[0]), 6).alias("score")).where("score > 0")
-    scored = scored.orderBy(F.desc("score"), key)
-    return scored if limit is None else scored.limit(limit)
+    for i in range(len(terms)):
+        tf, weight = F.col("_tf")[i], idf(F.lit(n[f"d{i}"]), F.lit(n["n"]))
+        parts.append(F.when(tf > 0, doc_weight(tf, F.col("_dl"), avgdl) * (weight if idf_power == 1 else weight * weight)).otherwise(F.lit(0.0)))
+    scored = hits.select(key, *keep, F.round(sum(parts[1:], parts[0]), 6).alias("score")).orderBy(F.desc("score"), key)
+    return (scored if limit is None else scored.limit(limit)).where("score > 0")

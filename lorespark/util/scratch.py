@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -47,10 +48,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def save_counting(self, df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
-        """save() that also counts on the way, without another pass over the rows."""
+    def save_counting(self, df: DataFrame, then: Callable[[DataFrame], DataFrame] | None = None, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """save() of df, or of then(df), that also counts over df on the way, without another pass over the rows."""
         seen = Observation()
-        out = self.save(df.observe(seen, *[c.alias(k) for k, c in counts.items()]))
+        counted = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
+        out = self.save(then(counted) if then else counted)
         out_counts = seen.get
         return out, {k: int(out_counts.get(k) or 0) for k in counts}
 
