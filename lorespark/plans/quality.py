@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from lorespark.functions.text import any_of, contains_any, squeeze, text_or_empty
 from lorespark.functions.versions import version_key
+from lorespark.operators.graph import page_sections, reach
 from lorespark.operators.hierarchy import resolve_hierarchy
 from lorespark.operators.metrics import last_n, tool_metrics, trailing_counts
 from lorespark.operators.quality import coverage, hit_cards, latency, percent
@@ -254,3 +255,23 @@ def document_intents(spark: SparkSession, d: str) -> DataFrame:
     low = F.lower(text_or_empty("text"))
     intent = F.when(contains_any(low, ["ошибк", "error"]), "problem").when(contains_any(low, ["пример"]), "example").otherwise("general")
     return table(spark, d, "documents").groupBy(intent.alias("intent")).agg(F.count("*").alias("n"))
+
+
+@q("""with recursive e as (select distinct from_id a, to_id b from config_relations where from_id is not null and to_id is not null),
+w as (select 'DataProcessor.ПланМакетРеестр' node, 0 depth union select b, depth + 1 from w join e on e.a = w.node where depth < 4)
+select node, min(depth) depth from w group by 1""")
+def reachable_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records that the links of one record lead to within four steps, at their least distance."""
+    edges = table(spark, d, "config_relations").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    seeds = spark.createDataFrame([("DataProcessor.ПланМакетРеестр",)], "node string")
+    return reach(edges, seeds, 4)
+
+
+@q("""with recursive w as (select id, title_ru, cast([] as varchar[]) ru from toc_chunks where parent_id = 0 or parent_id not in (select id from toc_chunks)
+union all select c.id, c.title_ru, list_append(w.ru, w.title_ru) from toc_chunks c join w on c.parent_id = w.id)
+select trim(html_path) as key, arg_min(array_to_string(ru, '/'), w.id) section_path from w join toc_chunks t on t.id = w.id where trim(coalesce(html_path, '')) <> '' group by 1""")
+def toc_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The section of each page of the contents, by its path."""
+    toc = table(spark, d, "toc_chunks")
+    pages = toc.select(F.trim("html_path").alias("key")).distinct()
+    return page_sections(toc).select("key", "section_path").join(pages, "key", "left_semi")

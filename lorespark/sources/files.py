@@ -261,3 +261,88 @@ def page_link_rows(records: DataFrame, known: Column | None = None) -> DataFrame
 
     flat = records.select("path", F.explode("links").alias("l"))
     return flat.select("path", F.col("l.href").alias("href"), F.col("l.text").alias("text"), resolve("path", F.col("l.href")).alias("resolved"))
+
+
+def read_items_json(spark: SparkSession, path: str) -> DataFrame:
+    """Snippets of JSON arrays (title, description, code_snippet, type, source_ref), source_ref by default `file#i`."""
+    schema = "title string, description string, code_snippet string, instruction string, detail_url string, type string, source_ref string"
+    texts = spark.read.option("wholetext", True).text(path).select(F.substring_index(F.input_file_name(), "/", -1).alias("file"), "value")
+    rows = texts.select("file", F.posexplode(F.from_json("value", f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in schema.split(', '))}>>")).alias("i", "x"))
+    return rows.select("x.*", "file", "i").withColumn("source_ref", F.coalesce("source_ref", F.concat_ws("#", "file", F.col("i").cast("string")))).drop("file", "i")
+
+
+def zip_rows(files: DataFrame) -> DataFrame:
+    """(path, name, body) of the entries of zip archives (path, content); other files give none."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import zipfile
+
+        for b in batches:
+            rows = []
+            for p, c in zip(b["path"], b["content"]):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(c))) as z:
+                        rows += [(p, i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
+                except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "name", "body"])
+
+    return files.select("path", "content").mapInPandas(read, "path string, name string, body binary")
+
+
+def find_exports(files: DataFrame) -> DataFrame:
+    """(path, length) of metadata exports: XML files that name catalogue objects in their first 4,096 bytes, largest first."""
+    head = F.decode(F.substring("content", 1, 4096), "UTF-8")
+    found = files.where(F.lower("path").endswith(".xml") & head.rlike("CatalogObject[.]|<Конфигурация"))
+    return found.select("path", "length").orderBy(F.desc("length"), "path")
+
+
+def config_label(configs: DataFrame, name: str = "config_name", version: str = "config_version") -> DataFrame:
+    """(label, version) of several configurations: the first three names and "…", the version or "multiple"."""
+    names, versions = configs.select(name).distinct(), configs.select(version).distinct()
+    first = names.orderBy(name).limit(4).agg(F.array_sort(F.collect_list(name)).alias("n"))
+    label = F.when(F.size("n") > 3, F.concat(F.array_join(F.slice("n", 1, 3), ", "), F.lit(", …"))).otherwise(F.array_join("n", ", "))
+    one = versions.agg(F.when(F.count("*") == 1, F.max(version)).otherwise("multiple")).scalar()
+    return first.select(label.alias("label"), one.alias("version"))
+
+
+def resolve_types(fields: DataFrame, key: str, types: str, refs: DataFrame) -> DataFrame:
+    """(key, types) with the references of an array of types replaced by names of refs (ref, name), raw where unknown.
+
+    Types repeat a lot, so they meet the names once each; a field's types are put back in their order, each once.
+    """
+    flat = fields.select(key, F.posexplode(types).alias("at", "t")).where("trim(t) <> ''")
+    named = flat.select("t").distinct().join(refs.select(F.col("ref").alias("t"), F.col("name").alias("_name")), "t", "left")
+    met = flat.join(named, "t").select(key, "at", F.coalesce(F.nullif("_name", F.lit("")), "t").alias("t"))
+    per = met.groupBy(key).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"])).alias("types"))
+    return fields.select(key).join(per, key, "left").select(key, F.coalesce("types", F.array().cast("array<string>")).alias("types"))
+
+
+def index_rows(pages: DataFrame, version: str, language: str) -> DataFrame:
+    """Pages as rows of the index: id, text cut to 50,000 characters, keywords, kind, links; blank pages are left out."""
+    from lorespark.functions.text import entity_type, keywords, point_id
+
+    rec = page_records(pages).where("trim(text) <> ''")
+    none = F.array().cast("array<string>")
+    return rec.select(
+        point_id(F.lit(version), F.lit(language), F.col("path")).alias("id"), "path", "title", F.substring("text", 1, 50_000).alias("text"), F.lit(version).alias("version"), F.lit(language).alias("language"), "links", keywords("text").alias("keywords"), entity_type("path", none).alias("entity_type")
+    )
+
+
+@arrow_udf("array<struct<title string, code string, description string>>")
+def listing_of(page: pd.Series) -> pd.Series:
+    """Items of a fetched listing page: a heading, the text up to its code block and the code; the first of a title counts."""
+
+    def items(text: str | None) -> list[dict]:
+        out: dict[str, dict] = {}
+        whole = "\n" + P.html_to_markdown(text)[0]
+        for part in whole.split("\n## ")[1:] or whole.split("\n### ")[1:]:
+            title, _, rest = part.partition("\n")
+            before, _, code = rest.partition("```\n")
+            title = title.strip("# ").strip()
+            if title and title not in out:
+                out[title] = {"title": title, "code": code.split("\n```")[0].strip(), "description": " ".join(before.split())}
+        return list(out.values())
+
+    return page.map(items)
