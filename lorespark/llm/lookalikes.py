@@ -29,7 +29,7 @@ LOOKALIKES = {
 # Characters that show nothing besides those of the format category, and blanks besides the space separators.
 UNSEEN = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 BLANKS = "\t\n\r\x0b\x0c\x85"
-#: Spellings whose trie a task holds at a time.
+#: Rows whose vocabulary words a task holds as a trie at a time, at most.
 TRIE_SPELLINGS = 50_000
 
 
@@ -140,35 +140,29 @@ class Trie:
 
 
 def canonical_words(words: DataFrame) -> DataFrame:
-    """(word, canon) of words (word, folded, n), n the frequency.
+    """(word, canon) of words (word, folded, clean, n), n the frequency.
 
-    Shards hold all spellings of a shape, in the order of shapes, so a trie is given up as soon as it is large.
+    The vocabulary has for each shape its most frequent clean spelling, on a tie the least; it is aggregated before it
+    meets the words, so a shape with any number of spellings is no burden to one task. A task builds a trie of the
+    vocabulary words of so many rows at a time and walks every spelling through it.
     """
+    vocabulary = words.where("clean").groupBy("folded").agg(F.min(F.struct((-F.col("n")).alias("n"), "word")).alias("v")).select("folded", F.col("v.word").alias("entry"), (-F.col("v.n")).alias("freq"))
+    met = lookup_join(words.select("word", "folded"), vocabulary, "folded").sortWithinPartitions("folded")
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[str, str, int]] = []
-
-        def done() -> pd.DataFrame:
-            trie = Trie()
-            for word, _, n in held:
-                if is_clean(word):
-                    trie.add(word, n)
-            rows = []
-            for word, folded, _ in held:
-                found = trie.walk(word)
-                rows.append((word, found[0][2] if found else folded))
-            return pd.DataFrame(rows, columns=["word", "canon"])
-
         for b in batches:
-            for row in zip(b["word"], b["folded"], b["n"]):
-                if len(held) >= TRIE_SPELLINGS and held[-1][1] != row[1]:
-                    yield done()
-                    held = []
-                held.append(row)
-        if held:
-            yield done()
+            for i in range(0, len(b), TRIE_SPELLINGS):
+                part = b.iloc[i : i + TRIE_SPELLINGS]
+                trie = Trie()
+                for word, n in {(w, n) for w, n in zip(part["entry"], part["freq"]) if w is not None}:
+                    trie.add(word, int(n))
+                rows = []
+                for word, folded in zip(part["word"], part["folded"]):
+                    found = trie.walk(word)
+                    rows.append((word, found[0][2] if found else folded))
+                yield pd.DataFrame(rows, columns=["word", "canon"])
 
-    return words.select("word", "folded", "n").repartition("folded").sortWithinPartitions("folded", "word").mapInPandas(match, "word string, canon string")
+    return met.select("word", "folded", "entry", "freq").mapInPandas(match, "word string, canon string")
 
 
 def canonical_names(names: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -181,12 +175,12 @@ def canonical_names(names: DataFrame, scratch: Scratch | None = None) -> DataFra
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(name, i, w, word, fold(word) if w else "".join(map(shape, unicodedata.normalize("NFD", word)))) for name in b["name"] for i, (w, word) in enumerate(cut_words(name) or [(False, "")])]
-            yield pd.DataFrame(rows, columns=["name", "at", "is_word", "word", "folded"])
+            rows = [(name, i, w, word, fold(word) if w else "".join(map(shape, unicodedata.normalize("NFD", word))), w and is_clean(word)) for name in b["name"] for i, (w, word) in enumerate(cut_words(name) or [(False, "")])]
+            yield pd.DataFrame(rows, columns=["name", "at", "is_word", "word", "folded", "clean"])
 
-    parts = names.select("name").where("name is not null").distinct().mapInPandas(cut, "name string, at int, is_word boolean, word string, folded string")
+    parts = names.select("name").where("name is not null").distinct().mapInPandas(cut, "name string, at int, is_word boolean, word string, folded string, clean boolean")
     parts = scratch.save(parts)
-    words = parts.where("is_word").groupBy("word", "folded").agg(F.count("*").alias("n"))
+    words = parts.where("is_word").groupBy("word", "folded", "clean").agg(F.count("*").alias("n"))
     canon = scratch.save(canonical_words(words))
     met = lookup_join(parts.where("is_word"), canon, "word").select("name", "at", F.coalesce("canon", "folded").alias("canon"))
     every = met.unionByName(parts.where("not is_word").select("name", "at", F.col("folded").alias("canon")))
@@ -204,8 +198,10 @@ def lookalike_pairs(rows: DataFrame, forms: DataFrame, scope: list[str], key: st
     spelled = known.select(*scope, "canon", name).distinct()
     several = spelled.groupBy(*scope, "canon").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).where("lo <> hi").select(*scope, "canon")
     spelled = spelled.join(several, [*scope, "canon"], "left_semi")
+    whole = lambda n: F.to_json(F.struct(*scope, F.col(n).alias("n")))
     a, b = spelled.withColumnRenamed(name, "name_a"), spelled.withColumnRenamed(name, "name_b")
-    pairs = a.join(b, [*scope, "canon"]).where("name_a < name_b").drop("canon")
-    left = pairs.join(known.select(*scope, F.col(name).alias("name_a"), F.col(key).alias("x")), [*scope, "name_a"])
-    both = left.join(known.select(*scope, F.col(name).alias("name_b"), F.col(key).alias("y")), [*scope, "name_b"])
+    pairs = a.join(b, [*scope, "canon"]).where("name_a < name_b").select(whole("name_a").alias("_a"), whole("name_b").alias("_b"))
+    rows = known.select(*scope, whole(name).alias("_a"), F.col(key).alias("x"))
+    left = lookup_join(rows, pairs, "_a", "inner")
+    both = lookup_join(left, known.select(whole(name).alias("_b"), F.col(key).alias("y")), "_b", "inner")
     return both.where("x <> y").select(*scope, F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()

@@ -246,9 +246,15 @@ class SharedSpans:
 
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b): every pair of different documents with a common run, smaller key first, once."""
-        members = self.rows.select("h", "c", "doc").distinct()
-        left = self._class_pairs().join(members.select("h", F.col("c").alias("ca"), F.col("doc").alias("da")), ["h", "ca"])
-        both = left.join(members.select("h", F.col("c").alias("cb"), F.col("doc").alias("db")), ["h", "cb"])
+        key = lambda c: F.struct(F.col("h"), F.col(c).alias("c"))
+        members = self.scratch.save(self.rows.select(key("c").alias("k"), "doc").distinct())
+        # neighbouring units of one passage have the same holders: one pair of classes stands for all of these
+        holders = members.groupBy("k").agg(F.struct(F.bit_xor(F.xxhash64("doc")).alias("x"), F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).alias("set"))
+        pairs = self._class_pairs().select(key("ca").alias("ka"), key("cb").alias("kb"))
+        pairs = pairs.join(holders.select(F.col("k").alias("ka"), F.col("set").alias("sa")), "ka").join(holders.select(F.col("k").alias("kb"), F.col("set").alias("sb")), "kb")
+        pairs = pairs.groupBy("sa", "sb").agg(F.min(F.struct("ka", "kb")).alias("p")).select("p.*")
+        left = lookup_join(members.select(F.col("k").alias("ka"), F.col("doc").alias("da")), pairs, "ka", "inner")
+        both = lookup_join(left.select("kb", "da"), members.select(F.col("k").alias("kb"), F.col("doc").alias("db")), "kb", "inner")
         both = both.where("da <> db").select(F.least("da", "db").alias("ra"), F.greatest("da", "db").alias("rb")).distinct()
         copies = self.copies
         wider = both.join(copies.select(F.col("rep").alias("ra"), F.col("doc").alias("xa")), "ra", "left").join(copies.select(F.col("rep").alias("rb"), F.col("doc").alias("xb")), "rb", "left")
@@ -275,7 +281,9 @@ class SharedSpans:
         least = wide.groupBy("h", "i", "w").agg(F.min("first").alias("first"))
         wide = self.wide.join(least, ["h", "i", "w"]).select("h", "c", (-F.col("i")).alias("left"), (F.col("i") + self.min).alias("right"), "first")
         reach = sides.unionByName(wide).groupBy("h", "c").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.min("first").alias("first"))
-        parts = self.rows.join(reach, ["h", "c"]).select("doc", (F.col("start") + F.col("off") - F.col("left")).alias("begin"), (F.col("start") + F.col("off") + F.col("right")).alias("end"), F.least("first", "doc").alias("first"))
+        keyed = lambda df: df.withColumn("k", F.struct("h", "c"))
+        parts = lookup_join(keyed(self.rows).drop("h", "c"), keyed(reach).drop("h", "c"), "k", "inner")
+        parts = parts.select("doc", (F.col("start") + F.col("off") - F.col("left")).alias("begin"), (F.col("start") + F.col("off") + F.col("right")).alias("end"), F.least("first", "doc").alias("first"))
         order = W.partitionBy("doc").orderBy("begin", "end")
         parts = parts.withColumn("far", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
         parts = parts.withColumn("run", F.sum((F.coalesce("far", F.lit(-1)) < F.col("begin")).cast("int")).over(order))
