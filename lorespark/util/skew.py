@@ -24,7 +24,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     of rows of the left side where it is known.
     """
     hot = F.broadcast(hot_keys(left, key, total))
-    plain = [c for c, t in left.dtypes if not t.startswith(("map", "array", "struct"))]
+    plain = [c for c, t in left.dtypes if not t.startswith(("map", "array", "struct"))] or [c for c, t in left.dtypes if not t.startswith("map")]
     salt = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
     spread = left.join(hot, F.col(key) == F.col("_hot"), "left")
     spread = spread.withColumn("_salt", F.when(F.col("_hot").isNotNull(), salt).otherwise(F.lit(0))).drop("_hot")
