@@ -174,26 +174,23 @@ def _direct(grouped: DataFrame, min_chars: int, seed: int) -> DataFrame:
 
 
 def _windows(classes: DataFrame, min_chars: int, seed: int) -> DataFrame:
-    """(h, c, n, off, ctx) → (h, c, n, i, w, before): digests of all runs of min_chars characters over the unit.
-
-    i counts from the unit's begin; `before` is the character before the window, null at the begin of the text.
-    """
+    """(h, c, n, off, ctx) → (h, c, n, i, w): digests of all runs of min_chars characters over the unit, begun at i from it."""
     reach = min_chars - seed
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for h, c, n, off, ctx in zip(*(b[k].to_pylist() for k in ("h", "c", "n", "off", "ctx"))):
                 for s in range(max(0, off - reach), min(off, len(ctx) - min_chars) + 1):
                     digest = hashlib.blake2b(ctx[s : s + min_chars].encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    for column, value in zip(out, (h, c, n, s - off, digest, ctx[s - 1] if s else None)):
+                    for column, value in zip(out, (h, c, n, s - off, digest)):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["h", "c", "n", "i", "w", "before"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["h", "c", "n", "i", "w"])
 
-    return classes.select("h", "c", "n", "off", "ctx").mapInArrow(cut, "h long, c long, n long, i int, w binary, before string")
+    return classes.select("h", "c", "n", "off", "ctx").mapInArrow(cut, "h long, c long, n long, i int, w binary")
 
 
 class SharedSpans:
@@ -235,26 +232,29 @@ class SharedSpans:
         self.edges = save(_direct(few, min_chars, seed))
         self.wide = save(_windows(counted.where(F.col("k") > direct), min_chars, seed))
 
-    def _class_pairs(self) -> DataFrame:
-        """(h, ca, cb) of classes whose texts share a run, each class with itself if it holds two texts."""
-        w = self.wide
-        a, b = w.select("h", "i", "w", F.col("c").alias("ca"), F.col("n").alias("na"), F.col("before").alias("pa")), w.select("h", "i", "w", F.col("c").alias("cb"), F.col("before").alias("pb"))
-        met = a.join(b, ["h", "i", "w"]).where((F.col("ca") < F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("na") > 1)))
-        # one run, one pair: only where it begins, or where the reach of the unit begins
-        begins = ~F.col("pa").eqNullSafe(F.col("pb")) | F.col("pa").isNull() | (F.col("i") == self.seed - self.min) | (F.col("ca") == F.col("cb"))
-        return self.edges.select("h", "ca", "cb").unionByName(met.where(begins).select("h", "ca", "cb").distinct())
+    def _holders(self, rows: DataFrame, *group: str) -> DataFrame:
+        """(group…, set) of rows (group…, doc): a digest of the set of documents of each group."""
+        digest = F.struct(F.bit_xor(F.xxhash64("doc")).alias("x"), F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        return rows.groupBy(*group).agg(digest.alias("set"))
 
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b): every pair of different documents with a common run, smaller key first, once."""
         key = lambda c: F.struct(F.col("h"), F.col(c).alias("c"))
         members = self.scratch.save(self.rows.select(key("c").alias("k"), "doc").distinct())
         # neighbouring units of one passage have the same holders: one pair of classes stands for all of these
-        holders = members.groupBy("k").agg(F.struct(F.bit_xor(F.xxhash64("doc")).alias("x"), F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).alias("set"))
-        pairs = self._class_pairs().select(key("ca").alias("ka"), key("cb").alias("kb"))
+        holders = self._holders(members, "k")
+        pairs = self.edges.select(key("ca").alias("ka"), key("cb").alias("kb"))
         pairs = pairs.join(holders.select(F.col("k").alias("ka"), F.col("set").alias("sa")), "ka").join(holders.select(F.col("k").alias("kb"), F.col("set").alias("sb")), "kb")
         pairs = pairs.groupBy("sa", "sb").agg(F.min(F.struct("ka", "kb")).alias("p")).select("p.*")
         left = lookup_join(members.select(F.col("k").alias("ka"), F.col("doc").alias("da")), pairs, "ka", "inner")
         both = lookup_join(left.select("kb", "da"), members.select(F.col("k").alias("kb"), F.col("doc").alias("db")), "kb", "inner")
+        # and so have neighbouring windows: one window stands for all with the same holders
+        window = self.wide.select(key("c").alias("k"), F.struct("h", "i", "w").alias("g"))
+        inside = self.scratch.save(lookup_join(window, members, "k", "inner").select("g", "doc").distinct())
+        groups = self._holders(inside, "g").where("set.n > 1").groupBy("set").agg(F.min("g").alias("g")).select("g")
+        inside = self.scratch.save(inside.join(groups, "g", "left_semi"))
+        wide = lookup_join(inside.select("g", F.col("doc").alias("da")), inside.select("g", F.col("doc").alias("db")), "g", "inner")
+        both = both.select("da", "db").unionByName(wide.select("da", "db"))
         both = both.where("da <> db").select(F.least("da", "db").alias("ra"), F.greatest("da", "db").alias("rb")).distinct()
         copies = self.copies
         wider = both.join(copies.select(F.col("rep").alias("ra"), F.col("doc").alias("xa")), "ra", "left").join(copies.select(F.col("rep").alias("rb"), F.col("doc").alias("xb")), "rb", "left")
