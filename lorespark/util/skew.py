@@ -21,7 +21,8 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
 
     Hot keys of the left side are spread over `salts` partitions and the right rows of just these keys repeated; the
     list of hot keys is bounded by HOT_KEYS, so it may be broadcast. A null key matches nothing. total is the number
-    of rows of the left side where it is known.
+    of rows of the left side where it is known. The left side is read to find its hot keys too, so it should be a
+    table, or a scratch table, not another join.
     """
     hot = F.broadcast(hot_keys(left, key, total))
     plain = [c for c, t in left.dtypes if not t.startswith(("map", "array", "struct"))] or [c for c, t in left.dtypes if not t.startswith("map")]
