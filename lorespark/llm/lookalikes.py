@@ -180,7 +180,7 @@ def canonical_names(names: DataFrame, scratch: Scratch | None = None) -> DataFra
 
     parts = names.select("name").where("name is not null").distinct().mapInPandas(cut, "name string, at int, is_word boolean, word string, folded string, clean boolean")
     parts = scratch.save(parts)
-    words = parts.where("is_word").groupBy("word", "folded", "clean").agg(F.count("*").alias("n"))
+    words = scratch.save(parts.where("is_word").groupBy("word", "folded", "clean").agg(F.count("*").alias("n")))
     canon = scratch.save(canonical_words(words))
     met = lookup_join(parts.where("is_word"), canon, "word").select("name", "at", F.coalesce("canon", "folded").alias("canon"))
     every = met.unionByName(parts.where("not is_word").select("name", "at", F.col("folded").alias("canon")))
@@ -189,19 +189,23 @@ def canonical_names(names: DataFrame, scratch: Scratch | None = None) -> DataFra
     return whole.select("name", F.trim("canon").alias("canon"))
 
 
-def lookalike_pairs(rows: DataFrame, forms: DataFrame, scope: list[str], key: str = "key", name: str = "name") -> DataFrame:
+def lookalike_pairs(rows: DataFrame, forms: DataFrame, scope: list[str], key: str = "key", name: str = "name", scratch: Scratch | None = None) -> DataFrame:
     """(scope…, key_a, key_b): pairs of different keys of one scope whose names differ but look the same.
 
     Pairs are formed between different spellings of one form, never between rows of the same spelling.
     """
-    known = lookup_join(rows.select(*scope, key, name).where(F.col(key).isNotNull() & F.col(name).isNotNull()).distinct(), forms.select(F.col("name").alias(name), "canon"), name, "inner")
-    spelled = known.select(*scope, "canon", name).distinct()
-    several = spelled.groupBy(*scope, "canon").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).where("lo <> hi").select(*scope, "canon")
-    spelled = spelled.join(several, [*scope, "canon"], "left_semi")
+    scratch = scratch or Scratch(rows.sparkSession)
     whole = lambda n: F.to_json(F.struct(*scope, F.col(n).alias("n")))
-    a, b = spelled.withColumnRenamed(name, "name_a"), spelled.withColumnRenamed(name, "name_b")
-    pairs = a.join(b, [*scope, "canon"]).where("name_a < name_b").select(whole("name_a").alias("_a"), whole("name_b").alias("_b"))
-    rows = known.select(*scope, whole(name).alias("_a"), F.col(key).alias("x"))
-    left = lookup_join(rows, pairs, "_a", "inner")
-    both = lookup_join(left, known.select(whole(name).alias("_b"), F.col(key).alias("y")), "_b", "inner")
+    rows = rows.select(*scope, key, name).where(F.col(key).isNotNull() & F.col(name).isNotNull()).distinct()
+    names = rows.select(*scope, name).distinct().join(forms.select(F.col("name").alias(name), "canon"), name)
+    spelled = scratch.save(names)
+    several = spelled.groupBy(*scope, "canon").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).where("lo <> hi").select(*scope, "canon")
+    several = spelled.join(several, [*scope, "canon"], "left_semi")
+    a, b = several.withColumnRenamed(name, "name_a"), several.withColumnRenamed(name, "name_b")
+    pairs = scratch.save(a.join(b, [*scope, "canon"]).where("name_a < name_b").select(whole("name_a").alias("_a"), whole("name_b").alias("_b")))
+    # rows of names that have a pair, then both sides of each pair
+    paired = pairs.select(F.explode(F.array("_a", "_b")).alias("_a")).distinct()
+    known, n = scratch.save_counting(rows.select(*scope, whole(name).alias("_a"), F.col(key).alias("x")).join(paired, "_a", "left_semi"), k=F.count(F.lit(1)))
+    left, m = scratch.save_counting(lookup_join(known, pairs, "_a", "inner", total=n["k"]), k=F.count(F.lit(1)))
+    both = lookup_join(left, known.select(F.col("_a").alias("_b"), F.col("x").alias("y")), "_b", "inner", total=m["k"])
     return both.where("x <> y").select(*scope, F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()

@@ -44,8 +44,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     api, objects = _names(spark, d)
     objects = scratch.save(objects)
     forms = scratch.save(canonical_names(api.select("name").unionByName(objects.select("name")), scratch))
-    a = lookalike_pairs(api, forms, []).select(F.lit("api_objects").alias("tab"), F.lit("").alias("scope"), "key_a", "key_b")
-    b = lookalike_pairs(objects, forms, ["scope", "object_type"]).select(F.lit("objects").alias("tab"), "scope", "key_a", "key_b")
+    a = lookalike_pairs(api, forms, [], scratch=scratch).select(F.lit("api_objects").alias("tab"), F.lit("").alias("scope"), "key_a", "key_b")
+    b = lookalike_pairs(objects, forms, ["scope", "object_type"], scratch=scratch).select(F.lit("objects").alias("tab"), "scope", "key_a", "key_b")
     return a.unionByName(b.distinct())
 
 
