@@ -245,9 +245,10 @@ class SharedSpans:
         holders = self._holders(members, "k")
         pairs = self.edges.select(key("ca").alias("ka"), key("cb").alias("kb"))
         pairs = pairs.join(holders.select(F.col("k").alias("ka"), F.col("set").alias("sa")), "ka").join(holders.select(F.col("k").alias("kb"), F.col("set").alias("sb")), "kb")
-        pairs = pairs.groupBy("sa", "sb").agg(F.min(F.struct("ka", "kb")).alias("p")).select("p.*")
+        pairs = self.scratch.save(pairs.groupBy("sa", "sb").agg(F.min(F.struct("ka", "kb")).alias("p")).select("p.*"))
         left = lookup_join(members.select(F.col("k").alias("ka"), F.col("doc").alias("da")), pairs, "ka", "inner")
-        both = lookup_join(left.select("kb", "da"), members.select(F.col("k").alias("kb"), F.col("doc").alias("db")), "kb", "inner")
+        left, n = self.scratch.save_counting(left.select("kb", "da"), k=F.count(F.lit(1)))
+        both = lookup_join(left, members.select(F.col("k").alias("kb"), F.col("doc").alias("db")), "kb", "inner", total=n["k"])
         # and so have neighbouring windows: one window stands for all with the same holders
         window = self.wide.select(key("c").alias("k"), F.struct("h", "i", "w").alias("g"))
         inside = self.scratch.save(lookup_join(window, members, "k", "inner").select("g", "doc").distinct())
