@@ -116,9 +116,14 @@ def _units(docs: DataFrame, min_chars: int, seed: int, every: bool) -> DataFrame
 
         for held in _blocks(batches, "text", BLOCK_CHARS):
             t = pa.Table.from_batches(held)
-            h, i, at = select_units([x or "" for x in t["text"].to_pylist()], min_chars, seed, every)
-            doc, g = t["doc"].to_numpy(), t["g"].to_numpy()
-            yield from pa.table({"h": h, "doc": doc[i], "g": g[i], "at": at.astype(np.int32)}).to_batches()
+            texts, doc, g = [x or "" for x in t["text"].to_pylist()], t["doc"].to_numpy(), t["g"].to_numpy()
+            starts = [0]
+            if len(texts) == 1 and len(texts[0]) > BLOCK_CHARS:  # every run lies whole in one of the parts
+                starts = list(range(0, len(texts[0]), BLOCK_CHARS))
+            for start in starts:
+                part = texts if len(starts) == 1 else [texts[0][start : start + BLOCK_CHARS + min_chars - 1]]
+                h, i, at = select_units(part, min_chars, seed, every)
+                yield from pa.table({"h": h, "doc": doc[i], "g": g[i], "at": (at + start).astype(np.int32)}).to_batches()
 
     return docs.select("doc", F.xxhash64("text").alias("g"), "text").mapInArrow(find, "h long, doc long, g long, at int")
 

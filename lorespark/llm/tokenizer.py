@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 TOKENIZERS = os.environ.get("LORESPARK_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Code points of text that are encoded at a time in one task.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
+_BETWEEN = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 # The contractions of the vocabulary's splitting pattern, and its white space.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -233,6 +235,26 @@ def encode_block(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return out.astype(np.int32), counts
 
 
+def cut_long(text: str, most: int) -> list[str]:
+    """Parts of about `most` characters that encode like the whole: each cut lies before a single blank between words."""
+    parts, at = [], 0
+    while len(text) - at > most:
+        m = _BETWEEN.search(text, at + most)
+        if not m:
+            break
+        parts.append(text[at : m.start()])
+        at = m.start()
+    return [*parts, text[at:]]
+
+
+def encode_texts(texts: list[str], path: str, block_chars: int = BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """encode_block() of a block; a single text that is longer than a block is encoded part by part."""
+    if len(texts) != 1 or len(texts[0]) <= block_chars:
+        return encode_block(texts, path)
+    ids = [encode_block([part], path)[0] for part in cut_long(texts[0], block_chars)]
+    return np.concatenate(ids), np.array([sum(map(len, ids))])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], column: str, block_chars: int) -> Iterator[list[pa.RecordBatch]]:
     """Batches put together or cut to blocks of about block_chars; a longer text is a block of its own."""
     held, size = [], 0
@@ -259,7 +281,7 @@ def _run(df: DataFrame, column: str, out: str, path: str, block_chars: int, keep
             table = pa.Table.from_batches(held).combine_chunks()
             if not table.num_rows:
                 continue
-            ids, counts = encode_block([t or "" for t in table[column].to_pylist()], path)
+            ids, counts = encode_texts([t or "" for t in table[column].to_pylist()], path, block_chars)
             if out == "ids":
                 bounds = np.r_[0, np.cumsum(counts)].astype(np.int32)
                 made = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))

@@ -53,6 +53,23 @@ def test_made_texts(spark):
     assert check(spark, texts, direct=3) == pairs
 
 
+def test_long_texts_in_parts(spark):
+    from lorespark.llm import spans
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("абвгд abc\n") for _ in range(n))
+    x = word(260)
+    texts = {1: word(900) + x + word(700), 2: word(1300) + x + word(100), 3: word(50) + x[:210] + word(50), 4: "-" * 2500, 5: "-" * 300}
+    whole = {t: set(zip(*(a.tolist() for a in spans.select_units([v])[::2]))) for t, v in texts.items()}
+    for t, v in texts.items():
+        if t != 4:
+            parts = set()
+            for s in range(0, len(v), 500):
+                h, _, at = spans.select_units([v[s : s + 500 + 199]])
+                parts |= set(zip(h.tolist(), (at + s).tolist()))
+            assert parts >= whole[t]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     spans = SharedSpans(df, every=True)

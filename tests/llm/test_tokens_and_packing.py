@@ -49,6 +49,16 @@ def test_random_texts(reference, texts):
     assert split(texts) == [reference.encode_ordinary(t) for t in texts]
 
 
+def test_long_text_in_parts(reference):
+    from lorespark.llm.tokenizer import cut_long, encode_texts
+
+    text = "Слово и слово, it's word  two\n" * 300 + "x" * 3000
+    parts = cut_long(text, 500)
+    assert len(parts) > 10 and "".join(parts) == text
+    ids, counts = encode_texts([text], PATH, 500)
+    assert list(ids) == reference.encode_ordinary(text) and list(counts) == [len(ids)]
+
+
 def test_documents(spark, reference):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r.doc_id: reference.encode_ordinary(r.text or "") for r in docs.select("doc_id", "text").collect()}
