@@ -10,6 +10,7 @@ with is the debt that all earlier shards leave behind, known beforehand from the
 from __future__ import annotations
 
 import bisect
+import heapq
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,25 +37,25 @@ def pack_shard(items: list[tuple], capacity: int, share: dict, deficit: dict) ->
         room, window = capacity, []
         for s in queues:
             deficit[s] = deficit.get(s, 0.0) + capacity * share.get(s, 0.0)
-        while room > 0 or not window:
-            best = None
-            for s in sorted(queues, key=lambda s: (-deficit[s], s)):
-                if sizes[s][0] <= room:
-                    best = s
-                    break
-            if best is None:
-                break
-            q, z = queues[best], sizes[best]
+        ready = [(-deficit[s], s) for s in queues]
+        heapq.heapify(ready)
+        while ready and (room > 0 or not window):
+            s = ready[0][1]
+            q, z = queues[s], sizes[s]
             i = bisect.bisect_right(z, room) - 1
+            if i < 0:  # none of its items fits into what is left of this window
+                heapq.heappop(ready)
+                continue
             it = q.pop(i)
             z.pop(i)
             window.append(it)
             room -= it[-2]
-            deficit[best] -= it[-2]
-            if not q:
-                del queues[best], sizes[best]
-            if not queues:
-                break
+            deficit[s] -= it[-2]
+            if q:
+                heapq.heapreplace(ready, (-deficit[s], s))
+            else:
+                heapq.heappop(ready)
+                del queues[s], sizes[s]
         windows.append(window)
     return windows
 
