@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions.paths import page_key
@@ -49,10 +49,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b.distinct())
 
 
+#: Trust in a record without a version, of 1 for one with a version.
+UNVERSIONED_TRUST = 0.5
+
+
+def _trust() -> Column:
+    return F.when(F.length(F.trim("version")) > 0, 1.0).otherwise(UNVERSIONED_TRUST)
+
+
 def _topics(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "api_topics")
     rank = [version_key("version"), filled_count(t, ["title", "text", "entity_type", "breadcrumb"]), F.col("loaded_at")]
-    return survivors(t, page_key("path"), "id", rank, ["title", "text", "version", "language", "entity_type", "breadcrumb", "hbk_label"])
+    return survivors(t, page_key("path"), "id", rank, ["title", "text", "version", "language", "entity_type", "breadcrumb", "hbk_label"], trust=_trust())
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +68,7 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
     highest = F.array_max(F.transform(F.array_append(F.coalesce("versions", F.array().cast("array<string>")), F.col("version")), version_key))
     rank = [highest, filled_count(m, ["summary", "description", "syntax", "returns"]), F.col("loaded_at")]
     name = F.when(F.col("full_name").isNotNull(), F.to_json(F.struct(F.lower(F.regexp_replace("full_name", r"(?U)\s+", "")).alias("n"), F.col("language").alias("l"))))
-    return survivors(m, name, "id", rank, ["full_name", "kind", "summary", "description", "syntax", "version", "versions", "returns", "params"])
+    return survivors(m, name, "id", rank, ["full_name", "kind", "summary", "description", "syntax", "version", "versions", "returns", "params"], trust=_trust())
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
