@@ -17,7 +17,7 @@ def test_names(spark):
     assert one(spark, N.accessor(lit("Document"), lit("Заказ"))) == "Документы.Заказ" and one(spark, N.accessor(lit("x"), lit("y"))) is None
     assert one(spark, N.type_display(lit("xs:string"), lit(50))) == "Строка(50)" and one(spark, N.type_display(lit("Число"), lit(15), lit(2))) == "Число(15,2)" and one(spark, N.type_display(lit("Дата"))) == "Дата"
     assert one(spark, N.union_ignore_case(F.array(lit("A"), lit("b")), F.array(lit("B "), lit("c"), lit(" "), lit("C")))) == ["A", "b", "c"]
-    assert one(spark, N.language_of_file(lit("1cv8_RU.hbk"))) == "ru" and one(spark, N.book_label(lit("shlang_ru"))) == "shlang"
+    assert one(spark, N.language_of_file(lit("book_RU.hbk"))) == "ru" and one(spark, N.book_label(lit("shlang_ru"))) == "shlang"
     assert one(spark, N.memory_summary(lit(None), lit(""), lit(None), lit("d"), lit("c" * 400))) == "d | " + "c" * 300
     assert [one(spark, N.duration(lit(s))) for s in (45, 185, 7380)] == ["45s", "3m 05s", "2h 03m"]
     links = F.array(F.struct(lit("a.html").alias("href"), lit("x/a.md").alias("resolved")), F.struct(lit("b").alias("href"), lit(None).cast("string").alias("resolved")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorespark.sources import files as S
 from lorespark.sources import parsers as P
 
-PAGE = """<!DOCTYPE html><html><head><title>t</title><style>x</style></head><body><h1 class="V8SH_pagetitle">Запрос (Query)</h1>
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>x</style></head><body><h1 class="pagetitle">Запрос (Query)</h1>
 <p>Текст&nbsp;и &amp; <a href="../objects/a.html#x">ссылка <b>раз</b></a> <a href="#top">top</a></p><h2>Параметры</h2><ul><li>один</li></ul>
 <pre>Если  А Тогда</pre><table><tr><th>k</th><th>v</th></tr><tr><td>1</td><td>2</td></tr></table></body></html>"""
 
