@@ -120,8 +120,8 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Passages outside of whole copies, with their offsets and the least document that holds a part of them."""
-    found, _ = SharedSpans(table(spark, d, "documents"), every=True).passages()
+    """Passages of all documents with their offsets and the least document that holds a part of them."""
+    found = SharedSpans(table(spark, d, "documents"), every=True).passages()
     return found.select(F.col("doc").alias("doc_id"), "begin", "end", "first_doc")
 
 

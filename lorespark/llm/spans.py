@@ -211,9 +211,9 @@ class SharedSpans:
         save = self.scratch.save
         docs = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & (F.length("text") >= min_chars))
         # identical texts: the one with the least key stands for all
-        digests = save(docs.select("doc", F.unhex(F.md5("text")).alias("d")))
+        digests = save(docs.select("doc", F.unhex(F.md5("text")).alias("d"), F.length("text").alias("size")))
         groups = digests.groupBy("d").agg(F.min("doc").alias("rep"), F.count("*").alias("n")).where("n > 1").select("d", "rep")
-        self.copies = save(lookup_join(digests, groups, "d", "inner").select("doc", "rep"))
+        self.copies = save(lookup_join(digests, groups, "d", "inner").select("doc", "rep", "size"))
         # digests of units that occur in different texts
         units = _units(docs, min_chars, seed, every)
         shared = units.groupBy("h").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("h")
@@ -269,13 +269,8 @@ class SharedSpans:
         every = wider.unionByName(twins)
         return every.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
-    def passages(self) -> tuple[DataFrame, DataFrame]:
-        """(doc, begin, end, first_doc): maximal stretches that stand elsewhere too, and (doc, rep) of whole copies.
-
-        first_doc is the least key that holds a part of the stretch; where it is the document itself the occurrence is
-        the one to keep, elsewhere begin and end are the original offsets of what could be removed.
-        Stretches are given for texts that are no copies; a copy shares all of its text. Needs every = True.
-        """
+    def _stretches(self) -> DataFrame:
+        """(doc, begin, end, first_doc): the passages of texts without copies and of the first of each group of copies."""
         if not self.every:
             raise ValueError("passages need every=True")
         e = self.edges
@@ -290,15 +285,29 @@ class SharedSpans:
         keyed = lambda df: df.withColumn("k", F.struct("h", "c"))
         parts = lookup_join(keyed(self.rows).drop("h", "c"), keyed(reach).drop("h", "c"), "k", "inner")
         parts = parts.select("doc", (F.col("start") + F.col("off") - F.col("left")).alias("begin"), (F.col("start") + F.col("off") + F.col("right")).alias("end"), F.least("first", "doc").alias("first"))
+        # a copy shares all of its text
+        parts = parts.unionByName(self.copies.where("doc = rep").select("doc", F.lit(0).alias("begin"), F.col("size").alias("end"), F.col("doc").alias("first")))
         order = W.partitionBy("doc").orderBy("begin", "end")
         parts = parts.withColumn("far", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
         parts = parts.withColumn("run", F.sum((F.coalesce("far", F.lit(-1)) < F.col("begin")).cast("int")).over(order))
-        found = parts.groupBy("doc", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("first").alias("first_doc")).drop("run")
-        return found.join(self.copies.where("doc = rep").select("doc"), "doc", "left_anti"), self.copies
+        return parts.groupBy("doc", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("first").alias("first_doc")).drop("run")
+
+    def passages(self) -> DataFrame:
+        """(doc, begin, end, first_doc): maximal stretches of every document that stand elsewhere too.
+
+        first_doc is the least key that holds a part of the stretch; where it is the document itself the occurrence is
+        the one to keep, elsewhere begin and end are the original offsets of what could be removed.
+        The other copies of a text get the rows of the first; of a group with a third of all documents they are salted.
+        Needs every = True.
+        """
+        found = self.scratch.save(self._stretches())
+        copies = self.copies.where("doc <> rep").select("doc", "rep")
+        again = lookup_join(copies, found.withColumnRenamed("doc", "rep"), "rep", "inner").drop("rep")
+        return found.unionByName(again)
 
     def shared(self, documents: DataFrame, text: str = "text") -> DataFrame:
         """(key, n_chars, shared_chars) of every document; 0 for texts that share nothing, null for a null text."""
-        found, copies = self.passages()
+        found, copies = self._stretches(), self.copies
         sums = found.groupBy("doc").agg(F.sum(F.col("end") - F.col("begin")).alias("s"))
         every = documents.select(F.col(self.key).cast("long").alias("doc"), F.length(text).alias("n_chars"))
         out = every.join(sums, "doc", "left").join(copies.select("doc", F.lit(True).alias("copy")).distinct(), "doc", "left")

@@ -70,6 +70,20 @@ def test_long_texts_in_parts(spark):
             assert parts >= whole[t]
 
 
+def test_passages_of_copies(spark):
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("абвгд abc\n") for _ in range(n))
+    x, twin = word(250), word(300)
+    texts = {1: word(80) + x + word(40), 2: twin, 3: word(30) + x + word(60), 5: twin, 6: word(400), 8: twin, 9: word(20) + x, 12: None}
+    texts[10] = texts[11] = texts[3]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {}
+    for p in SharedSpans(df, every=True).passages().collect():
+        got.setdefault(p.doc, set()).update(range(p.begin, p.end))
+    assert {i: len(at) for i, at in got.items()} == brute(texts)[1]
+    assert got[2] == got[5] == got[8] == set(range(300)) and got[10] == got[11] == set(range(len(texts[3])))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     spans = SharedSpans(df, every=True)
