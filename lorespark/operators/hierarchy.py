@@ -49,7 +49,7 @@ def _double(start: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], DataFr
 
 
 def resolve_hierarchy(nodes: DataFrame, scratch: Scratch | None = None, order: list[str] | None = None) -> DataFrame:
-    """(node, root, depth, path, cyclic, dangling) of nodes (node, parent, label), one row per node.
+    """(node, parent, root, depth, path, cyclic, dangling) of nodes (node, parent, label), one row per node.
 
     Each round replaces every open pointer by the pointer of the node it points to, so the distance covered doubles and
     the path segments are put together; a chain of length n takes about log2 n rounds. If a round closes no chain,
@@ -73,10 +73,11 @@ def resolve_hierarchy(nodes: DataFrame, scratch: Scratch | None = None, order: l
     for part in closed:
         above = above.unionByName(part.select(F.col("node").alias("parent"), F.col("ptr").alias("_root"), F.col("dist").alias("_depth"), F.col("path").alias("_path"), F.lit(False).alias("_cyclic"), F.col("dangling").alias("_dangling")))
     own = F.array(F.struct(F.col("node").alias("id"), "label"))
-    roots = start.where("parent is null").select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), own.alias("path"), F.lit(False).alias("cyclic"), F.lit(False).alias("dangling"))
+    roots = start.where("parent is null").select("node", "parent", F.col("node").alias("root"), F.lit(0).alias("depth"), own.alias("path"), F.lit(False).alias("cyclic"), F.lit(False).alias("dangling"))
     alone = F.col("_cyclic").isNull()
     below = lookup_join(start.where("parent is not null"), above, "parent", total=n["below"]).select(
         "node",
+        "parent",
         F.when(alone, F.col("node")).otherwise(F.col("_root")).alias("root"),
         F.when(alone, 0).otherwise(F.col("_depth") + 1).alias("depth"),
         F.when(alone, own).otherwise(F.concat("_path", own)).alias("path"),
@@ -87,6 +88,40 @@ def resolve_hierarchy(nodes: DataFrame, scratch: Scratch | None = None, order: l
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
-    """(ancestor, node, distance) for every node and each of its ancestors, from the paths: no further join."""
+    """(ancestor, node, distance) for every node with a path and each of its ancestors: no further join.
+
+    What hangs on a cycle has no path; see circular_descendants().
+    """
     flat = resolved.where("not cyclic").select("node", "depth", F.posexplode("path").alias("at", "step"))
     return flat.where("at < depth").select(F.col("step.id").alias("ancestor"), "node", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def circular_descendants(resolved: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(ancestor, node, distance) for every node on or below a cycle and each of its ancestors, at the least distance.
+
+    Pointer doubling again: `up` holds the ancestors from the parent on, as many as were covered. Once one comes up for
+    the second time (or is the node itself) the chain only repeats itself, so it is cut there; no node is its own
+    ancestor. A chain that meets one that is cut takes over its ancestors and is cut too.
+    """
+    scratch = scratch or Scratch(resolved.sparkSession)
+    ended = lambda up: F.size(F.array_distinct(F.concat(F.array("node"), up))) <= F.size(up)
+    cut = lambda up: F.array_except(up, F.array("node"))  # noqa: E731 - distinct, the first of equal ones kept
+    up = F.array("parent")
+    first = resolved.where("cyclic").select("node", F.col("parent").alias("ptr"), cut(up).alias("up"), ended(up).alias("closed"))
+    state, n = scratch.save_counting(first, left=F.count_if(~F.col("closed")))
+    closed, active, left = [state.where("closed")], state.where("not closed"), n["left"]
+    while left:
+        every = active
+        for part in closed:
+            every = every.unionByName(part)
+        jump = every.select(F.col("node").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("up").alias("_up"), F.col("closed").alias("_closed"))
+        up = F.concat("up", "_up")
+        step = lookup_join(active, jump, "ptr", "inner", total=left).select("node", F.col("_ptr").alias("ptr"), cut(up).alias("up"), (F.col("_closed") | ended(up)).alias("closed"))
+        step, n = scratch.save_counting(step, left=F.count_if(~F.col("closed")))
+        left = n["left"]
+        closed.append(step.where("closed"))
+        active = step.where("not closed")
+    whole = closed[0]
+    for part in closed[1:]:
+        whole = whole.unionByName(part)
+    return whole.select("node", F.posexplode("up").alias("at", "ancestor")).select("ancestor", "node", (F.col("at") + 1).alias("distance"))

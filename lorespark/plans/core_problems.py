@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions.canonical import guid
-from lorespark.operators.hierarchy import descendants, resolve_hierarchy
+from lorespark.operators.hierarchy import circular_descendants, descendants, resolve_hierarchy
 from lorespark.operators.references import dangling_owners, dangling_relations, orphan_report
 from lorespark.operators.snapshots import snapshot_changes
 from lorespark.plans.tables import table
@@ -88,9 +88,11 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Every (ancestor, node, distance) of both hierarchies."""
+    """Every (ancestor, node, distance) of both hierarchies, on and below circles too."""
+    scratch = Scratch(spark)
     tab, node = _tab("node")
-    return descendants(_trees(spark, d)).select(tab.alias("tab"), _tab("ancestor")[1].alias("ancestor"), node.alias("node"), "distance")
+    trees = _trees(spark, d, scratch)
+    return descendants(trees).unionByName(circular_descendants(trees, scratch)).select(tab.alias("tab"), _tab("ancestor")[1].alias("ancestor"), node.alias("node"), "distance")
 
 
 def _p6(spark: SparkSession, d: str) -> DataFrame:

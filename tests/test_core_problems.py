@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.canonical import guid, json_canonical
 from lorespark.functions.versions import version_key
-from lorespark.operators.hierarchy import descendants, resolve_hierarchy
+from lorespark.operators.hierarchy import circular_descendants, descendants, resolve_hierarchy
 from lorespark.operators.references import dangling_owners, dangling_relations, orphan_report
 from lorespark.operators.snapshots import snapshot_changes
 from lorespark.plans import core_problems as cp
@@ -118,6 +118,23 @@ def test_hierarchy(spark):
     assert resolve_hierarchy(df.limit(0)).count() == 0
 
 
+def test_descendants_on_circles(spark):
+    edges = {"r": None, "a": "r", "x": "y", "y": "z", "z": "x", "w": "x", "v": "w", "u": "v", "t": "u", "self": "self", "s": "self", "s2": "s"}
+    edges |= {f"c{i}": f"c{(i + 1) % 21}" for i in range(21)} | {"d0": "c5"} | {f"d{i}": f"d{i - 1}" for i in range(1, 40)}
+    df = spark.createDataFrame(list(edges.items()), "node string, parent string").withColumn("label", F.col("node"))
+    want = set()
+    for n in edges:
+        at, seen = edges[n], [n]
+        while at is not None and at not in seen:
+            want.add((at, n, len(seen)))
+            seen.append(at)
+            at = edges[at]
+    tree = resolve_hierarchy(df)
+    got = [tuple(r) for r in descendants(tree).unionByName(circular_descendants(tree)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert ("w", "t", 3) in want and ("x", "y", 2) in want and circular_descendants(resolve_hierarchy(df.where("node in ('r', 'a')"))).count() == 0
+
+
 @data
 def test_hierarchy_brute(spark):
     import re
