@@ -60,7 +60,7 @@ def _trust() -> Column:
 def _topics(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "api_topics")
     rank = [version_key("version"), filled_count(t, ["title", "text", "entity_type", "breadcrumb"]), F.col("loaded_at")]
-    return survivors(t, page_key("path"), "id", rank, ["title", "text", "version", "language", "entity_type", "breadcrumb", "hbk_label"], trust=_trust())
+    return survivors(t, page_key("path"), "id", rank, ["path", "title", "text", "version", "language", "entity_type", "breadcrumb", "toc_id", "hbk_label", "loaded_at"], trust=_trust())
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ def _members(spark: SparkSession, d: str) -> DataFrame:
     highest = F.array_max(F.transform(F.array_append(F.coalesce("versions", F.array().cast("array<string>")), F.col("version")), version_key))
     rank = [highest, filled_count(m, ["summary", "description", "syntax", "returns"]), F.col("loaded_at")]
     name = F.when(F.col("full_name").isNotNull(), F.to_json(F.struct(F.lower(F.regexp_replace("full_name", r"(?U)\s+", "")).alias("n"), F.col("language").alias("l"))))
-    return survivors(m, name, "id", rank, ["full_name", "kind", "summary", "description", "syntax", "version", "versions", "returns", "params"], trust=_trust())
+    return survivors(m, name, "id", rank, ["owner_name", "member_name", "full_name", "kind", "summary", "description", "syntax", "version", "versions", "returns", "language", "params", "loaded_at"], trust=_trust())
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -127,3 +127,13 @@ def test_votes(spark):
     assert (g.best_id, g.n, g.f, g.body, g.tags) == (2, 4, "Old  Title", "b", '["x"]')
     assert (got[7].best_id, got[7].n, got[7].f) == (7, 1, None)
     assert survivors(df.limit(0), F.col("grp"), "id", rank, ["f"]).count() == 0
+
+
+@data
+def test_survivors_have_all_fields(spark):
+    for got, name, key, only in ((q.p5_topics(spark, SF), "api_topics", "path", "toc_id"), (q.p5_members(spark, SF), "api_members", "full_name", "owner_name")):
+        records = spark.read.parquet(f"{SF}/{name}.parquet")
+        assert set(got.columns) == set(records.columns) - {"id"} | {"group_id", "best_id", "n"}
+        alone = got.where("n = 1").join(records.select(F.col("id").alias("best_id"), *[F.col(c).cast("string").alias(f"_{c}") for c in (key, only, "language", "loaded_at")]), "best_id").collect()
+        assert alone and all(r[c] == r[f"_{c}"] for r in alone for c in (key, only, "language", "loaded_at") if (r[f"_{c}"] or "").strip())
+        assert got.where(F.col(key).isNull()).count() == 0
