@@ -120,9 +120,9 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Passages of all documents with their offsets and the least document that holds a part of them."""
+    """Passages of all documents with their offsets, cut where the earliest holder changes; kept in it, removed elsewhere."""
     found = SharedSpans(table(spark, d, "documents"), every=True).passages()
-    return found.select(F.col("doc").alias("doc_id"), "begin", "end", "first_doc")
+    return found.select(F.col("doc").alias("doc_id"), "begin", "end", "first_doc", (F.col("doc") == F.col("first_doc")).alias("kept"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_names, p5_found, p5_topics, p5_members, p7_ids, p7_counts, p8_found, p8_pack, p8_containers, p9_found, p9_shared, p9_passages)}

@@ -198,6 +198,49 @@ def _windows(classes: DataFrame, min_chars: int, seed: int) -> DataFrame:
     return classes.select("h", "c", "n", "off", "ctx").mapInArrow(cut, "h long, c long, n long, i int, w binary")
 
 
+def _by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, begin, end, first) sorted by doc and begin → (doc, begin, end, first_doc): disjoint, the least first of all over a place."""
+    import heapq
+
+    names, kinds = ["doc", "begin", "end", "first_doc"], (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+    out: list[list] = []  # the last stretch may still grow
+    heap: list[tuple[int, int]] = []
+    doc, at = None, 0
+
+    def advance(to: float) -> None:
+        nonlocal at
+        while heap and at < to:
+            first, end = heap[0]
+            if end <= at:
+                heapq.heappop(heap)
+                continue
+            stop = min(end, to)
+            if out and out[-1][0] == doc and out[-1][2] == at and out[-1][3] == first:
+                out[-1][2] = stop
+            else:
+                out.append([doc, at, stop, first])
+            at = stop
+
+    def flush(n: int) -> pa.RecordBatch:
+        done = out[:n]
+        del out[:n]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate(kinds)], names=names)
+
+    for b in batches:
+        for d, begin, end, first in zip(*(b[k].to_pylist() for k in ("doc", "begin", "end", "first"))):
+            if d != doc:
+                advance(float("inf"))
+                doc, at = d, begin
+            advance(begin)
+            at = begin
+            heapq.heappush(heap, (first, end))
+        if len(out) > 1:
+            yield flush(len(out) - 1)
+    advance(float("inf"))
+    if out:
+        yield flush(len(out))
+
+
 class SharedSpans:
     """Shared spans of documents (key, text); see the module's text.
 
@@ -281,22 +324,24 @@ class SharedSpans:
         wide = self.wide.join(groups, ["h", "i", "w"]).join(first, ["h", "c"])
         least = wide.groupBy("h", "i", "w").agg(F.min("first").alias("first"))
         wide = self.wide.join(least, ["h", "i", "w"]).select("h", "c", (-F.col("i")).alias("left"), (F.col("i") + self.min).alias("right"), "first")
-        reach = sides.unionByName(wide).groupBy("h", "c").agg(F.max("left").alias("left"), F.max("right").alias("right"), F.min("first").alias("first"))
+        reach = sides.unionByName(wide).groupBy("h", "c", "left", "right").agg(F.min("first").alias("first"))
+        # what reaches no further than an earlier holder says nothing new
+        earlier = W.partitionBy("h", "c").orderBy("first", F.desc("left"), F.desc("right")).rowsBetween(W.unboundedPreceding, -1)
+        reach = reach.withColumn("far_l", F.max("left").over(earlier)).withColumn("far_r", F.max("right").over(earlier))
+        reach = reach.where("far_l is null or left > far_l or right > far_r").drop("far_l", "far_r")
         keyed = lambda df: df.withColumn("k", F.struct("h", "c"))
         parts = lookup_join(keyed(self.rows).drop("h", "c"), keyed(reach).drop("h", "c"), "k", "inner")
         parts = parts.select("doc", (F.col("start") + F.col("off") - F.col("left")).alias("begin"), (F.col("start") + F.col("off") + F.col("right")).alias("end"), F.least("first", "doc").alias("first"))
         # a copy shares all of its text
         parts = parts.unionByName(self.copies.where("doc = rep").select("doc", F.lit(0).alias("begin"), F.col("size").alias("end"), F.col("doc").alias("first")))
-        order = W.partitionBy("doc").orderBy("begin", "end")
-        parts = parts.withColumn("far", F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)))
-        parts = parts.withColumn("run", F.sum((F.coalesce("far", F.lit(-1)) < F.col("begin")).cast("int")).over(order))
-        return parts.groupBy("doc", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("first").alias("first_doc")).drop("run")
+        return parts.repartition("doc").sortWithinPartitions("doc", "begin").mapInArrow(_by_first, "doc long, begin int, end int, first_doc long")
 
     def passages(self) -> DataFrame:
-        """(doc, begin, end, first_doc): maximal stretches of every document that stand elsewhere too.
+        """(doc, begin, end, first_doc): what of every document stands elsewhere too, cut where first_doc changes.
 
-        first_doc is the least key that holds a part of the stretch; where it is the document itself the occurrence is
-        the one to keep, elsewhere begin and end are the original offsets of what could be removed.
+        first_doc is the least key that holds a run of min_chars characters over the place. Where it is the document
+        itself the stretch is kept, elsewhere it is removed; begin and end are the original offsets. What is removed is
+        always kept in an earlier document. A stretch may be shorter than min_chars, the runs it is cut from are not.
         The other copies of a text get the rows of the first; of a group with a third of all documents they are salted.
         Needs every = True.
         """

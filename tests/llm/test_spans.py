@@ -84,6 +84,34 @@ def test_passages_of_copies(spark):
     assert got[2] == got[5] == got[8] == set(range(300)) and got[10] == got[11] == set(range(len(texts[3])))
 
 
+def brute_holders(texts, m=200):
+    at, first = {}, {}
+    for i, t in texts.items():
+        for p in range(len(t or "") - m + 1):
+            at.setdefault(t[p : p + m], []).append((i, p))
+    for found in at.values():
+        if len({i for i, _ in found}) > 1:
+            for i, p in found:
+                for k in range(p, p + m):
+                    first[i, k] = min(first.get((i, k), i), min(found)[0])
+    return first
+
+
+def test_passages_by_earliest_holder(spark):
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("абвгд abc\n") for _ in range(n))
+    x, y, z = word(300), word(300), word(700)
+    texts = {3: word(40) + y + word(30), 4: x + y, 5: word(20) + x, 6: z, 7: z[:450] + word(50), 8: word(9) + z[250:] + y, 2: z[300:520] + word(70), 9: z, 10: z, 11: "-" * 500, 12: "a" + "-" * 300}
+    texts |= {100 + i: word(30) + x[i : 280] + word(30) for i in range(8)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_holders(texts)
+    for direct in (64, 3):
+        rows = SharedSpans(df, every=True, direct=direct).passages().collect()
+        got = [((p.doc, k), p.first_doc) for p in rows for k in range(p.begin, p.end)]
+        assert len(got) == len(want) and dict(got) == want
+        assert {(p.begin, p.end, p.first_doc) for p in rows if p.doc == 4} == {(0, 300, 4), (300, 600, 3)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     spans = SharedSpans(df, every=True)
