@@ -13,24 +13,27 @@ from lorespark.util.scratch import Scratch
 from lorespark.util.skew import lookup_join
 
 
-def reach(edges: DataFrame, seeds: DataFrame, most: int = 32, scratch: Scratch | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(node, depth) of all nodes that edges (a, b) lead to from seeds (node), each at its least depth.
 
     One round per depth: the frontier meets the edges, what was seen before is left out; a node that a third of all
-    edges leave is salted. Stops when nothing new comes up, so cycles do no harm, or after `most` rounds.
+    edges leave is salted. Stops when nothing new comes up, so cycles do no harm, or after `most` rounds if it
+    is given.
     """
     scratch = scratch or Scratch(edges.sparkSession)
     edges = scratch.save(edges.select("a", "b").where("a is not null and b is not null").distinct())
     front, n = scratch.save_counting(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)), k=F.count(F.lit(1)))
     seen = front
-    for depth in range(1, most + 1):
-        if not n["k"]:
-            break
+    depth = 0
+    while n["k"] and (most is None or depth < most):
+        depth += 1
         heads = front.select(F.col("node").alias("a"), F.lit(True).alias("_in"))
         step = lookup_join(edges, heads, "a", "inner").select(F.col("b").alias("node")).distinct()
         new = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
         front, n = scratch.save_counting(new, k=F.count(F.lit(1)))
         seen = seen.unionByName(front)
+        if depth % 16 == 0:  # the plan of a long walk stays small
+            seen = scratch.save(seen)
     return seen
 
 

@@ -267,6 +267,13 @@ def reachable_records(spark: SparkSession, d: str) -> DataFrame:
     return reach(edges, seeds, 4)
 
 
+@q(None)
+def reachable_records_all(spark: SparkSession, d: str) -> DataFrame:
+    """All records that the links of one record lead to, however far, at their least distance."""
+    edges = table(spark, d, "config_relations").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    return reach(edges, spark.createDataFrame([("DataProcessor.ПланМакетРеестр",)], "node string"))
+
+
 @q("""with recursive w as (select id, title_ru, cast([] as varchar[]) ru from toc_chunks where parent_id = 0 or parent_id not in (select id from toc_chunks)
 union all select c.id, c.title_ru, list_append(w.ru, w.title_ru) from toc_chunks c join w on c.parent_id = w.id)
 select trim(html_path) as key, arg_min(array_to_string(ru, '/'), w.id) section_path from w join toc_chunks t on t.id = w.id where trim(coalesce(html_path, '')) <> '' group by 1""")

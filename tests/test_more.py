@@ -19,6 +19,12 @@ def test_reach(spark):
     assert reach(edges, spark.createDataFrame([], "node string")).count() == 0
 
 
+def test_reach_far(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(40)], "a string, b string")
+    got = {r.node: r.depth for r in reach(edges, spark.createDataFrame([("0",)], "node string")).collect()}
+    assert got == {str(i): i for i in range(41)}
+
+
 def test_sections(spark):
     rows = [(1, 0, "Объекты", "Objects", None), (2, 1, "Методы", None, "m/index.html"), (3, 2, None, "Find", "m/find.html"), (4, 2, "", "", "m/find.html"), (5, 6, "x", None, "c.html"), (6, 5, "y", None, None)]
     df = spark.createDataFrame(rows, "id long, parent_id long, title_ru string, title_en string, html_path string")
