@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lorespark.util.scratch import Scratch
+
 RRF_K = 60
 
 
@@ -45,3 +47,15 @@ def quotas(rows: DataFrame, domain: str, position: str, title: str, limits: dict
     marked = marked.withColumn("_first", F.row_number().over(again)).where(F.col("_in") | (F.col("_first") == 1))
     shown = marked.withColumn("place", F.row_number().over(W.orderBy("_group", position))).where(F.col("place") <= total)
     return shown.drop("_in", "_group", "_first")
+
+
+def places(rows: DataFrame, order: list, scratch: Scratch | None = None) -> DataFrame:
+    """rows with `place` from 1 in the given total order: sorted by ranges, each part counted on from those before it."""
+    scratch = scratch or Scratch(rows.sparkSession)
+    done = scratch.save(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    done = done.withColumn("_part", F.shiftright("_m", 33))
+    counts = done.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    # one row for each part of the sort
+    met = done.join(F.broadcast(before), "_part")
+    return met.withColumn("place", F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_part", "_before")

@@ -10,6 +10,7 @@ from lorespark.functions.canonical import guid
 from lorespark.functions.text import GLOBAL_OWNERS, contains_any, help_only_bucket, is_stub_path, member_order, text_or_empty, title_rank
 from lorespark.functions.versions import version_key
 from lorespark.operators import catalog
+from lorespark.operators.fusion import places
 from lorespark.operators.merge import content_merge, key_changes, signature, to_load
 from lorespark.plans._queries import Book
 from lorespark.plans.core_problems import _guid
@@ -296,6 +297,13 @@ def stub_partition(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("id", F.row_number().over(W.orderBy(is_stub_path("path"), "id")).alias("place"))
 
 
+@q(f"select id, row_number() over (order by {_STUB}, id) place from api_topics where path is not null")
+def stub_partition_all(spark: SparkSession, d: str) -> DataFrame:
+    """All pages with the pages of members moved to the end."""
+    pages = table(spark, d, "api_topics").where("path is not null").select("id", is_stub_path("path").alias("stub"))
+    return places(pages, ["stub", "id"]).select("id", "place")
+
+
 @q(f"""select id, path, p priority from (select id, path, {_STUB} stub, case when lower(trim(coalesce(title, ''))) = 'каталог' and (contains(path, '.html') or contains(path, '.md')) then 0
 when lower(trim(coalesce(title, ''))) <> 'untitled' and (contains(path, '.html') or contains(path, '.md')) then 1 when lower(trim(coalesce(title, ''))) <> 'untitled' then 2 else 3 end p
 from api_topics where contains(lower(coalesce(title, '')), 'каталог') and trim(coalesce(path, '')) <> '') order by p, stub, id limit 1""")

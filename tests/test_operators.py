@@ -7,7 +7,7 @@ from lorespark.functions import text as t
 from lorespark.functions.chunks import chunk_rows, clamp
 from lorespark.functions.vectors import cosine, token_hash_vector
 from lorespark.operators import bm25, catalog
-from lorespark.operators.fusion import quotas, ranked, rrf
+from lorespark.operators.fusion import places, quotas, ranked, rrf
 from lorespark.operators.merge import content_merge, key_changes, to_load, upsert
 from lorespark.operators.quality import coverage, latency
 from lorespark.operators.records import build_records, merge_members, resolve_links
@@ -131,3 +131,9 @@ def test_surface_and_plan(spark):
     assert [r.id for r in owner_alias_members(m, "Элементы", "Найти").collect()] == [2]
     assert [classify(x) for x in ("", "Метаданные.Документы", "Запрос.Найти", "стандарт имён", "как получить", "документ заказ", "xyz")] == ["mixed_task", "metadata_surface_chain", "platform_surface_chain", "standards_or_snippets", "conceptual_help", "metadata_exact", "mixed_task"]
     assert plan("Запрос.Найти").candidates == ["Запрос.Найти", "Запрос", "Найти"]
+
+
+def test_places(spark):
+    rows = spark.range(0, 1000, 1, 7).select("id", (F.col("id") % 3).alias("g"))
+    got = {r.id: r.place for r in places(rows, ["g", "id"]).collect()}
+    assert got == {i: k + 1 for k, i in enumerate(sorted(range(1000), key=lambda i: (i % 3, i)))}
