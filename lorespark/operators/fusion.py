@@ -49,6 +49,19 @@ def quotas(rows: DataFrame, domain: str, position: str, title: str, limits: dict
     return shown.drop("_in", "_group", "_first")
 
 
+def quota_candidates(rows: DataFrame, domain: str, position: str, title: str, limits: dict[str, int], total: int) -> DataFrame:
+    """The rows of a hit list of any length that quotas() can show; position is unique.
+
+    These are the first of each domain up to its limit, and of the first rows of each (title, domain) so many as can
+    be filled in, counting those that the limits have shown already.
+    """
+    once = rows.groupBy(title, domain).agg(F.min_by(F.struct(*rows.columns), position).alias("x")).select("x.*")
+    out = once.orderBy(position).limit(total + sum(limits.values()))
+    for d, n in limits.items():
+        out = out.unionByName(rows.where(F.col(domain) == d).orderBy(position).limit(n))
+    return out.dropDuplicates([position])
+
+
 def places(rows: DataFrame, order: list, scratch: Scratch | None = None) -> DataFrame:
     """rows with `place` from 1 in the given total order: sorted by ranges, each part counted on from those before it."""
     scratch = scratch or Scratch(rows.sparkSession)

@@ -10,7 +10,7 @@ from lorespark.functions.text import any_of, code_blocks, contains_any, keyword_
 from lorespark.functions.versions import version_key, version_matches
 from lorespark.operators import bm25
 from lorespark.operators.dense import knn
-from lorespark.operators.fusion import best_per, quotas, ranked, rrf
+from lorespark.operators.fusion import best_per, quota_candidates, quotas, ranked, rrf
 from lorespark.plans._queries import Book
 from lorespark.plans.tables import table
 
@@ -228,6 +228,24 @@ def domain_quota(spark: SparkSession, d: str) -> DataFrame:
     return quotas(_memory(spark, d, 60), "domain", "pos", "title", {"reference": 2, "snippet": 2, "": 1}, 6).select("item_id", "domain", "place")
 
 
+_LIMITS = {"reference": 2, "snippet": 2, "": 1}
+
+
+def _memory_all_sql(total: int) -> str:
+    return _memory_sql(list(_LIMITS.items()), total, 60).replace(" order by item_id limit 60)", ")")
+
+
+def _shown(spark: SparkSession, d: str, total: int) -> DataFrame:
+    m = table(spark, d, "skd_composition_result").select("item_id", text_or_empty("title").alias("title"), text_or_empty("type").alias("domain"), text_or_empty("description").alias("description"), text_or_empty("code_snippet").alias("code_snippet"))
+    return quotas(quota_candidates(m, "domain", "item_id", "title", _LIMITS, total), "domain", "item_id", "title", _LIMITS, total)
+
+
+@q(f"with {_memory_all_sql(6)} select item_id, domain, place from e")
+def domain_quota_all(spark: SparkSession, d: str) -> DataFrame:
+    """Six by quota out of the whole table."""
+    return _shown(spark, d, 6).select("item_id", "domain", "place")
+
+
 @q(f"""with {_memory_sql([('reference', 2), ('snippet', 2), ('', 1)], 3, 60)},
 k as (select item_id, place, contains(lower(concat_ws(' ', e.title, coalesce(s.description, ''), coalesce(code_snippet, ''))), 'склад') hit from e join skd_composition_result s using (item_id))
 select item_id, place from k where case when (select bool_or(hit) from k) then hit else place <= 2 end""")
@@ -239,6 +257,16 @@ def code_answer_quota(spark: SparkSession, d: str) -> DataFrame:
     return marked.where(F.when(F.col("any"), F.col("hit")).otherwise(F.col("place") <= 2)).select("item_id", "place")
 
 
+@q(f"""with {_memory_all_sql(3)},
+k as (select item_id, place, contains(lower(concat_ws(' ', e.title, coalesce(s.description, ''), coalesce(code_snippet, ''))), 'склад') hit from e join skd_composition_result s using (item_id))
+select item_id, place from k where case when (select bool_or(hit) from k) then hit else place <= 2 end""")
+def code_answer_quota_all(spark: SparkSession, d: str) -> DataFrame:
+    """As code_answer_quota, out of the whole table."""
+    hay = F.lower(F.concat_ws(" ", "title", "description", "code_snippet"))
+    marked = _shown(spark, d, 3).withColumn("hit", F.contains(hay, F.lit("склад"))).withColumn("any", F.max("hit").over(W.partitionBy()))
+    return marked.where(F.when(F.col("any"), F.col("hit")).otherwise(F.col("place") <= 2)).select("item_id", "place")
+
+
 def _section(name: str, tab: str, key: str, text: str) -> str:
     t = TOK.format(x=text)
     return f"""select '{name}' section, id, score, row_number() over (order by score desc, id) place from (

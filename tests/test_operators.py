@@ -7,7 +7,7 @@ from lorespark.functions import text as t
 from lorespark.functions.chunks import chunk_rows, clamp
 from lorespark.functions.vectors import cosine, token_hash_vector
 from lorespark.operators import bm25, catalog
-from lorespark.operators.fusion import places, quotas, ranked, rrf
+from lorespark.operators.fusion import places, quota_candidates, quotas, ranked, rrf
 from lorespark.operators.merge import content_merge, key_changes, to_load, upsert
 from lorespark.operators.quality import coverage, latency
 from lorespark.operators.records import build_records, merge_members, resolve_links
@@ -137,3 +137,12 @@ def test_places(spark):
     rows = spark.range(0, 1000, 1, 7).select("id", (F.col("id") % 3).alias("g"))
     got = {r.id: r.place for r in places(rows, ["g", "id"]).collect()}
     assert got == {i: k + 1 for k, i in enumerate(sorted(range(1000), key=lambda i: (i % 3, i)))}
+
+
+def test_quotas_of_all_rows(spark):
+    rows = [(p, "x" if p < 90 else "y", f"t{p % 2}") for p in range(1, 100)] + [(p, "z", f"t{p % 3}") for p in range(100, 120)]
+    hits = spark.createDataFrame(rows, "pos long, d string, t string")
+    limits = {"y": 2, "x": 1}
+    want = [tuple(r) for r in quotas(hits, "d", "pos", "t", limits, 7).orderBy("place").select("pos", "place").collect()]
+    got = quotas(quota_candidates(hits, "d", "pos", "t", limits, 7), "d", "pos", "t", limits, 7).orderBy("place").select("pos", "place")
+    assert [tuple(r) for r in got.collect()] == want and want[0][0] == 90
