@@ -9,18 +9,21 @@ from lorespark.functions.canonical import ZERO_GUID, guid
 from lorespark.functions.versions import version_key
 from lorespark.util.bloom import Bloom
 from lorespark.util.scratch import Scratch
-from lorespark.util.skew import lookup_join
+from lorespark.util.skew import lookup_join, sketch
 
 
 def _classify(refs: DataFrame, parents: DataFrame, scratch: Scratch) -> DataFrame:
     """refs (…, k) left-joined to parents (k, …), which is unique by k; `_known` says whether k exists.
 
-    A Bloom filter of the parent keys proves part of the references to be orphans; only the rest is joined.
+    A Bloom filter of the parent keys, sized by their number, proves part of the references to be orphans; only the rest
+    is joined.
     """
-    bloom = Bloom(parents, F.col("k"), parents.count())
-    probed = scratch.save(refs.withColumn("_maybe", bloom.may_hold(F.col("k"))))
+    parents, n = scratch.save_counting(parents, k=F.count(F.lit(1)))
+    bloom = Bloom(parents, F.col("k"), n["k"], scratch)
+    maybe = F.when(F.col("_maybe"), F.col("k"))
+    probed, n = scratch.save_counting(bloom.mark(refs, F.col("k")), k=F.count(maybe), hot=sketch(maybe))
     orphans = probed.where("not _maybe").drop("_maybe")
-    joined = lookup_join(probed.where("_maybe").drop("_maybe"), parents.withColumn("_known", F.lit(True)), "k")
+    joined = lookup_join(probed.where("_maybe").drop("_maybe"), parents.withColumn("_known", F.lit(True)), "k", total=n["k"], hot=n["hot"])
     joined = joined.withColumn("_known", F.coalesce("_known", F.lit(False)))
     empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in parents.schema if f.name != "k"}
     return joined.unionByName(orphans.select("*", *empty.values(), F.lit(False).alias("_known")))
@@ -38,7 +41,6 @@ def dangling_relations(relations: DataFrame, objects: DataFrame, scratch: Scratc
     key = F.to_json(F.struct(F.col("config_name").alias("c"), F.col("id").alias("i")))
     held = objects.where("id is not null").select(key.alias("k"), "config_version").distinct()
     parents = held.groupBy("k").agg(F.collect_set(F.coalesce("config_version", F.lit("\u0000"))).alias("held"), F.min(version_key("config_version")).alias("low"), F.max(version_key("config_version")).alias("high"))
-    parents = scratch.save(parents)
     ends = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("id")) for f in ("from_id", "to_id")]))
     refs = relations.select(F.col("rel_id").alias("row_id"), "config_name", "config_version", "seen_at", ends.alias("e")).select("*", "e.*").drop("e")
     refs = refs.where(F.col("id").isNotNull() & ~F.trim("id").isin("", "0", ZERO_GUID))
@@ -65,7 +67,7 @@ def dangling_owners(properties: DataFrame, catalog: DataFrame, configs: DataFram
     ).where("k is not null")
     marked = F.when(F.col("mark").isNotNull(), F.struct(F.coalesce("loaded_at", F.to_timestamp(F.lit("0001-01-01"))), "mark"))
     parents = rows.groupBy("k").agg(F.min("loaded_at").alias("first"), F.max(marked).alias("m"), F.bool_or("config").alias("config"))
-    parents = scratch.save(parents.select("k", "first", F.coalesce(F.col("m.mark"), F.lit(False)).alias("mark"), "config"))
+    parents = parents.select("k", "first", F.coalesce(F.col("m.mark"), F.lit(False)).alias("mark"), "config")
     refs = properties.select("row_id", F.col("loaded_at").alias("seen_at"), guid("owner").alias("k")).where("k is not null")
     met = _classify(refs, parents, scratch)
     kind = F.when(~F.col("_known"), "missing").when(F.col("config"), None).when(F.col("mark"), "deleted").when(F.col("first") > F.col("seen_at"), "later")

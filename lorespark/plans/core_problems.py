@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions.canonical import guid
-from lorespark.operators.hierarchy import circular_descendants, descendants, resolve_hierarchy
+from lorespark.operators.hierarchy import Hierarchy, circular_descendants, descendants
 from lorespark.operators.references import dangling_owners, dangling_relations, orphan_report
 from lorespark.operators.snapshots import snapshot_changes
 from lorespark.plans.tables import table
@@ -41,17 +41,17 @@ def _toc_nodes(spark: SparkSession, d: str) -> DataFrame:
 _LABEL = "struct<title_ru: string, title_en: string>"
 
 
-def _trees(spark: SparkSession, d: str, scratch: Scratch | None = None) -> DataFrame:
-    """Both hierarchies resolved together; a node is `letter|id`, the label of a catalogue node is its name.
+def _trees(spark: SparkSession, d: str, scratch: Scratch | None = None, labels: bool = True) -> Hierarchy:
+    """Both hierarchies together; a node is `letter|id`, the label of a catalogue node is its name, or null.
 
     Of a repeated ref the latest delivery counts, a property before an object before a configuration.
     """
     mark = lambda tab, c: F.concat(F.lit(tab + "|"), F.col(c).cast("string")).alias(c)
     rest = ["rank", "loaded_at", "tie"]
-    label = F.struct(F.col("label").alias("title_ru"), F.lit(None).cast("string").alias("title_en")).cast(_LABEL)
-    catalog = _catalog_nodes(spark, d).select(mark("p", "node"), mark("p", "parent"), label.alias("label"), *rest)
+    label = F.struct(F.col("label").alias("title_ru"), F.lit(None).cast("string").alias("title_en")) if labels else F.lit(None)
+    catalog = _catalog_nodes(spark, d).select(mark("p", "node"), mark("p", "parent"), label.cast(_LABEL).alias("label"), *rest)
     toc = _toc_nodes(spark, d).select(mark("t", "node"), mark("t", "parent"), F.col("label").cast(_LABEL).alias("label"), *[F.lit(None).cast(catalog.schema[c].dataType).alias(c) for c in rest])
-    return resolve_hierarchy(catalog.unionByName(toc), scratch, rest)
+    return Hierarchy(catalog.unionByName(toc), scratch, rest)
 
 
 def _tab(node: str) -> tuple[Column, Column]:
@@ -60,20 +60,21 @@ def _tab(node: str) -> tuple[Column, Column]:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark)
-    trees = _trees(spark, d, scratch)
+    trees = _trees(spark, d, scratch, labels=False)
     tab, node = _tab("node")
-    circular, n = scratch.save_counting(trees.where("cyclic").select(tab.alias("tab"), node.alias("node")), all=F.count(F.lit(1)))
+    circular, n = scratch.save_counting(trees.circular().select(tab.alias("tab"), node.alias("node")), all=F.count(F.lit(1)))
     found = circular.where("tab = 'toc_chunks'").select("tab", "node")
 
     # the refs as they were delivered
     names = circular.where("tab = 'catalog_properties'").select("node")
-    maybe = Bloom(names, F.col("node"), n["all"])
-    refs = table(spark, d, "catalog_properties").select("ref", guid("ref").alias("node")).where(maybe.may_hold(F.col("node"))).distinct()
+    refs = table(spark, d, "catalog_properties").select("ref", guid("ref").alias("node"))
+    refs = Bloom(names, F.col("node"), n["all"]).filter(refs, F.col("node")).distinct()
     found = found.unionByName(refs.join(names, "node", "left_semi").select(F.lit("catalog_properties").alias("tab"), F.col("ref").alias("node")))
 
+    # paths of the contents only
     topics = table(spark, d, "api_topics").where("toc_id is not null and size(breadcrumb) > 0").select("id", F.col("toc_id").cast("string").alias("node"), "breadcrumb", F.coalesce(F.col("language") == "en", F.lit(False)).alias("en"))
     above = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
-    toc = trees.where("not cyclic and node like 't|%'")
+    toc = trees.resolve(want=F.startswith(F.col("node"), F.lit("t|"))).where("not cyclic")
     titles = toc.select(node.alias("node"), F.transform(above, lambda x: x["label"]["title_ru"]).alias("ru"), F.transform(above, lambda x: x["label"]["title_en"]).alias("titles_en"))
     met = lookup_join(topics, titles, "node")
     right = F.when(F.col("en"), F.col("titles_en")).otherwise(F.col("ru"))
@@ -84,14 +85,14 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     """Path, depth and root of every node of both hierarchies; nulls for what hangs on a cycle."""
     tab, node = _tab("node")
     path = F.array_join(F.transform("path", lambda x: x["label"]["title_ru"]), "/", "?")
-    return _trees(spark, d).select(tab.alias("tab"), node.alias("node"), _tab("root")[1].alias("root"), "depth", path.alias("path"), "cyclic", "dangling")
+    return _trees(spark, d).resolve().select(tab.alias("tab"), node.alias("node"), _tab("root")[1].alias("root"), "depth", path.alias("path"), "cyclic", "dangling")
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every (ancestor, node, distance) of both hierarchies, on and below circles too."""
     scratch = Scratch(spark)
     tab, node = _tab("node")
-    trees = _trees(spark, d, scratch)
+    trees = scratch.save(_trees(spark, d, scratch, labels=False).resolve())
     return descendants(trees).unionByName(circular_descendants(trees, scratch)).select(tab.alias("tab"), _tab("ancestor")[1].alias("ancestor"), node.alias("node"), "distance")
 
 

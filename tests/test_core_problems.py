@@ -102,7 +102,7 @@ def brute_chain(parents):
 
 
 def test_hierarchy(spark):
-    edges = {"r": None, "a": "r", "b": "a", "c": "b", "d": "c", "e": "d", "f": "e", "x": "y", "y": "z", "z": "x", "w": "x", "self": "self", "lost": "nowhere", "under": "lost", "g": "a"}
+    edges = {"r": None, "a": "r", "b": "a", "c": "b", "d": "c", "e": "d", "f": "e", "x": "y", "y": "z", "z": "x", "w": "x", "self": "self", "lost": "nowhere", "under": "lost", "deep": "under", "deeper": "deep", "deepest": "deeper", "g": "a"}
     df = spark.createDataFrame([(n, p, n.upper(), 1) for n, p in edges.items()] + [(None, "r", "N", 1), ("g", "a", "G", 2)], "node string, parent string, label string, depth int")
     got = {r.node: r for r in resolve_hierarchy(df).collect()}
     want = brute_chain(edges)
@@ -179,20 +179,47 @@ def test_references_edges(spark):
     assert sum(r.n for r in orphan_report(found).collect()) == 3
 
 
-def test_hot_keys_are_salted(spark):
-    from lorespark.util.skew import lookup_join
+def test_hot_keys_are_split(spark):
+    from lorespark.util.skew import lookup_join, pair_join
 
-    left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("k"))
     right = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    out = lookup_join(left, right, "k")
-    assert out.count() == 3000 and out.where("w <> k * 2").count() == 0
-
-
-def test_bloom_has_no_false_negative(spark):
+    out = lookup_join(left, right, "k", least=50)
+    assert "_part" in out._jdf.queryExecution().toString()
+    assert out.count() == 3000 and out.where("w <> k * 2").count() == 0 and out.where("k is null and w is null").count() == 1000
+    assert lookup_join(left, right, "k", "inner", least=50).count() == 2000
+    assert lookup_join(left.select("k"), right, "k", "inner", least=50).count() == 2000
+    few = spark.range(90).select(F.col("id").alias("x"), F.when(F.col("id") < 60, 7).otherwise(F.col("id")).alias("k"))
+    pairs = pair_join(left, few, "k", least=50, pairs=1000)
+    assert "_a" in pairs._jdf.queryExecution().toString()
+    assert pairs.count() == pairs.distinct().count() == left.join(few, "k").count()
+
+
+@pytest.mark.parametrize("range_bits, broadcast_ranges", [(1 << 23, 32), (1 << 12, 32), (1 << 12, 2)])
+def test_bloom_has_no_false_negative(spark, range_bits, broadcast_ranges):
     from lorespark.util.bloom import Bloom
 
-    keys = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("k"))
-    b = Bloom(keys, F.col("k"), 2000)
-    assert keys.where(~b.may_hold(F.col("k"))).count() == 0
-    other = spark.range(2000, 12000).select(F.concat(F.lit("k"), "id").alias("k"))
-    assert other.where(b.may_hold(F.col("k"))).count() < 500
+    name = F.concat(F.lit("k"), F.col("id").cast("string"))
+    keys = spark.range(4000).select(name.alias("k"), F.lit("clash").alias("id"))
+    b = Bloom(keys, F.col("k"), 4000, range_bits, broadcast_ranges)
+    assert b.ranges == (1 if range_bits > 1 << 12 else 10) and b.filter(keys, F.col("k")).count() == 4000
+    other = spark.range(4000, 24000).select(name.alias("k"))
+    # about 1.2 % are not told apart, however many ranges there are
+    assert b.filter(other, F.col("k")).count() < 500
+    assert {r._maybe for r in b.mark(other.select(F.lit(None).cast("string").alias("k")), F.col("k")).collect()} == {None}
+
+
+def test_long_chain_with_circle(spark):
+    """No path is carried by what hangs on a circle, however long the chain."""
+    from lorespark.operators.hierarchy import Hierarchy
+
+    n = 400
+    chain = spark.range(n).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).otherwise(F.lit(n)).alias("parent"))
+    circle = spark.createDataFrame([(n, n + 1), (n + 1, n)], "node long, parent long")
+    straight = spark.range(10_000, 10_000 + n).select(F.col("id").alias("node"), F.when(F.col("id") > 10_000, F.col("id") - 1).alias("parent"))
+    tree = Hierarchy(chain.unionByName(circle).unionByName(straight).withColumn("label", F.lit("x")))
+    assert tree.circular().count() == n + 2 and tree.n_open in (n + 1, n + 2)
+    deep = tree.resolve().where(f"node = {10_000 + n - 1}").first()
+    assert deep.depth == n - 1 and [p.id for p in deep.path] == list(range(10_000, 10_000 + n))
+    flat = tree.resolve(paths=False)
+    assert "path" not in flat.columns and flat.where("cyclic").count() == n + 2 and flat.agg(F.max("depth")).first()[0] == n - 1
