@@ -35,7 +35,7 @@ def _tasks(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _parts(key: Column | str, parts: dict[int, int]) -> Column:
+def parts_of(key: Column | str, parts: dict[int, int]) -> Column:
     """Number of parts of a row's key, 1 for most."""
     out = F.lit(1)
     for h, n in parts.items():
@@ -43,13 +43,13 @@ def _parts(key: Column | str, parts: dict[int, int]) -> Column:
     return out
 
 
-def _which(df: DataFrame, key: str, parts: Column) -> Column:
+def part_in(df: DataFrame, key: str, parts: Column) -> Column:
     """The part of its key that a row falls into, by its other columns."""
     plain = [c for c, t in df.dtypes if c != key and not t.startswith("map")]
     return F.pmod(F.xxhash64(*plain) if plain else F.monotonically_increasing_id(), parts).cast("int")
 
 
-def _every(parts: Column) -> Column:
+def every_part(parts: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), parts - 1))
 
 
@@ -69,9 +69,9 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
         parts.pop(_NULL, None)
     if not parts:
         return left.join(right, key, how)
-    n = _parts(key, parts)
-    spread = left.withColumn("_part", _which(left, key, n))
-    return spread.join(right.withColumn("_part", _every(n)), [key, "_part"], how).drop("_part")
+    n = parts_of(key, parts)
+    spread = left.withColumn("_part", part_in(left, key, n))
+    return spread.join(right.withColumn("_part", every_part(n)), [key, "_part"], how).drop("_part")
 
 
 def pair_join(left: DataFrame, right: DataFrame, key: str, least: int = LEAST_SPLIT, pairs: int = PAIRS) -> DataFrame:
@@ -96,7 +96,7 @@ def pair_join(left: DataFrame, right: DataFrame, key: str, least: int = LEAST_SP
             rows_l[h], rows_r[h] = a, b
     if not rows_l:
         return left.join(right, key)
-    a, b = _parts(key, rows_l), _parts(key, rows_r)
-    spread = left.withColumn("_a", _which(left, key, a)).withColumn("_b", _every(b))
-    copies = right.withColumn("_b", _which(right, key, b)).withColumn("_a", _every(a))
+    a, b = parts_of(key, rows_l), parts_of(key, rows_r)
+    spread = left.withColumn("_a", part_in(left, key, a)).withColumn("_b", every_part(b))
+    copies = right.withColumn("_b", part_in(right, key, b)).withColumn("_a", every_part(a))
     return spread.join(copies, [key, "_a", "_b"]).drop("_a", "_b")
