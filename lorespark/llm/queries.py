@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.paths import page_key
 from lorespark.functions.versions import version_key
-from lorespark.llm.lookalikes import LOOKALIKES, canonical_names, lookalike_pairs
+from lorespark.llm.lookalikes import canonical_names, lookalike_pairs
 from lorespark.llm.packing import containers, pack
 from lorespark.llm.spans import SharedSpans
 from lorespark.llm.splitting import split_oversized
@@ -57,31 +57,36 @@ def _trust() -> Column:
     return F.when(F.length(F.trim("version")) > 0, 1.0).otherwise(UNVERSIONED_TRUST)
 
 
-def _topics(spark: SparkSession, d: str) -> DataFrame:
+_TOPIC_FIELDS = ["path", "title", "text", "version", "language", "entity_type", "breadcrumb", "toc_id", "hbk_label", "loaded_at"]
+_MEMBER_FIELDS = ["owner_name", "member_name", "full_name", "kind", "summary", "description", "syntax", "version", "versions", "returns", "language", "params", "loaded_at"]
+
+
+def _topics(spark: SparkSession, d: str, fields: list[str]) -> DataFrame:
     t = table(spark, d, "api_topics")
-    rank = [version_key("version"), filled_count(t, ["title", "text", "entity_type", "breadcrumb"]), F.col("loaded_at")]
-    return survivors(t, page_key("path"), "id", rank, ["path", "title", "text", "version", "language", "entity_type", "breadcrumb", "toc_id", "hbk_label", "loaded_at"], trust=_trust())
+    standing = [version_key("version"), filled_count(t, ["title", "text", "entity_type", "breadcrumb"])]
+    return survivors(t, page_key("path"), "id", standing, fields, trust=_trust())
 
 
-def _members(spark: SparkSession, d: str) -> DataFrame:
+def _members(spark: SparkSession, d: str, fields: list[str]) -> DataFrame:
     m = table(spark, d, "api_members")
     highest = F.array_max(F.transform(F.array_append(F.coalesce("versions", F.array().cast("array<string>")), F.col("version")), version_key))
-    rank = [highest, filled_count(m, ["summary", "description", "syntax", "returns"]), F.col("loaded_at")]
+    standing = [highest, filled_count(m, ["summary", "description", "syntax", "returns"])]
     name = F.when(F.col("full_name").isNotNull(), F.to_json(F.struct(F.lower(F.regexp_replace("full_name", r"(?U)\s+", "")).alias("n"), F.col("language").alias("l"))))
-    return survivors(m, name, "id", rank, ["owner_name", "member_name", "full_name", "kind", "summary", "description", "syntax", "version", "versions", "returns", "language", "params", "loaded_at"], trust=_trust())
+    return survivors(m, name, "id", standing, fields, trust=_trust())
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [f(spark, d).where("n > 1").select(F.lit(t).alias("tab"), "group_id", "best_id") for t, f in (("api_topics", _topics), ("api_members", _members))]
+    """Groups of several records with the record that wins the vote; no other field is unpivoted."""
+    parts = [f(spark, d, []).where("n > 1").select(F.lit(t).alias("tab"), "group_id", "best_id") for t, f in (("api_topics", _topics), ("api_members", _members))]
     return parts[0].unionByName(parts[1])
 
 
 def p5_topics(spark: SparkSession, d: str) -> DataFrame:
-    return _topics(spark, d)
+    return _topics(spark, d, _TOPIC_FIELDS)
 
 
 def p5_members(spark: SparkSession, d: str) -> DataFrame:
-    return _members(spark, d)
+    return _members(spark, d, _MEMBER_FIELDS)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -129,9 +134,9 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_names, p5_f
 
 _VK = "(case when trim(coalesce({v}, '')) = '' then cast([] as bigint[]) else list_transform(string_split(trim({v}), '.'), lambda x: coalesce(try_cast(trim(x) as bigint), 0)) end)"
 _LONG = "length(trim({c}, ' ' || chr(9) || chr(13) || chr(10) || chr(160))) > 1200"
-# composed letters that look alike through their base letter
-_FROM = "".join(LOOKALIKES) + "ЁёЇїÀ"
-_TO = "".join(LOOKALIKES.values()) + "ËëÏïÀ"
+# letters that look alike, stated for the SQL by itself, and composed letters that do so through their base letter
+_FROM = "АВЕЅІЈКМНОРСТХаеорсухѕіјһԁ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ" + "ЁёЇї"
+_TO = "ABESIJKMHOPCTXaeopcyxsijhd" + "ABEZHIKMNOPTYXovp" + "ËëÏï"
 _WIDE, _NARROW = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
 
 

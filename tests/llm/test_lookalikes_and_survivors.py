@@ -3,15 +3,17 @@
 import datetime as dt
 import os
 import re
+import unicodedata
 from urllib.parse import unquote
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions.paths import page_key
 from lorespark.functions.versions import version_key
 from lorespark.llm import queries as q
-from lorespark.llm.lookalikes import Trie, canonical_names, cut_words, fold, lookalike_pairs
+from lorespark.llm.lookalikes import Trie, canonical_names, cut_words, fold, lookalike_pairs, walk_words
 from lorespark.llm.survivors import filled_count, survivors
 
 SF = "/root/testdata/sf0.01"
@@ -40,6 +42,39 @@ def test_trie():
     assert t.walk("Каталк") == [] and t.walk("Слоя") == [] and {w for _, _, w in t.walk("Слоя", 1)} == {"Слои"}
 
 
+VARIANTS = {
+    "cyrillic": lambda n: n.translate(str.maketrans("acopexAKMT", "асорехАКМТ")), "greek": lambda n: n.translate(str.maketrans("ovpAKMT", "ονρΑΚΜΤ")), "wide": lambda n: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in n),
+    "bold": lambda n: "".join(chr(0x1D400 + ord(c) - 65) if "A" <= c <= "Z" else chr(0x1D41A + ord(c) - 97) if "a" <= c <= "z" else c for c in n), "sans": lambda n: "".join(chr(0x1D5A0 + ord(c) - 65) if "A" <= c <= "Z" else c for c in n),
+    "composed": lambda n: unicodedata.normalize("NFC", n), "decomposed": lambda n: unicodedata.normalize("NFD", n), "zero width": lambda n: "\u200b".join(n), "joiners": lambda n: n.replace("a", "a\u200d").replace("o", "\u2060o"),
+    "soft hyphen": lambda n: n[:2] + "\xad" + n[2:], "selectors": lambda n: n + "\ufe0f", "blanks": lambda n: n.replace(" ", "\u2003"), "no-break": lambda n: n.replace(" ", "\xa0"), "ends": lambda n: f"\u3000{n} ",
+    "ligature": lambda n: n.replace("fi", "\ufb01"), "cherokee": lambda n: n.translate(str.maketrans("ATM", "ᎪᎢᎷ")), "lisu": lambda n: n.translate(str.maketrans("KTM", "ꓗꓔꓟ")), "armenian": lambda n: n.replace("o", "օ"), "roman": lambda n: n.replace("IV", "Ⅳ"),
+}
+
+
+def test_recall_of_variants(spark):
+    names = ["Config Table", "AccountMap", "Façade Module IV", "Kopie vom Auftrag", "Toolbox", "Товар Учёт", "Map2Export", "fine path"]
+    made = [(n, v, f(n)) for n in names for v, f in VARIANTS.items()]
+    forms = {r.name: r.canon for r in canonical_names(spark.createDataFrame([(n,) for n in {*names, *(x for _, _, x in made)}], "name string")).collect()}
+    missed = [(n, v) for n, v, x in made if forms[x] != forms[n]]
+    assert missed == [] and len({forms[n] for n in names}) == len(names) and sum(x != n for n, _, x in made) > 60
+
+
+def test_trie_decides():
+    rows = pd.DataFrame([(0, 0, True, "Каталог", 5), (0, 0, True, "Слой", 2), (0, 0, False, "Kaтaлoг", 0), (0, 0, False, "Слои", 0), (1, 0, False, "Каталог", 0)], columns=["shard", "part", "is_entry", "word", "n"])
+    got = pd.concat(walk_words(iter([rows[:3], rows[3:]])))
+    assert [tuple(r) for r in got.itertuples(index=False)] == [("Kaтaлoг", "Каталог"), ("Слои", None), ("Каталог", None)]
+
+
+def test_hot_shape_is_split(spark, monkeypatch):
+    import lorespark.llm.lookalikes as module
+
+    monkeypatch.setattr(module, "WALKED", 10)
+    words = ["Каталог", *("Каталог"[:3] + "\u200b" * i + "Каталог"[3:] for i in range(1, 60)), "Слой"]
+    df = spark.createDataFrame([(w, fold(w), "\u200b" not in w, 1) for w in words], "word string, folded string, clean boolean, n long")
+    got = {r.word: r.canon for r in module.canonical_words(df).collect()}
+    assert len(got) == 61 and {got[w] for w in words[:-1]} == {"Каталог"} and got["Слой"] == "Слой"
+
+
 def test_names(spark):
     names = [n for g in GROUPS for n in g]
     df = spark.createDataFrame([(n, "clash") for n in [*names, *names[:3], None]], "name string, canon string")
@@ -119,7 +154,9 @@ def test_votes(spark):
         ("h", 7, None, None, None, None, None), (None, 8, "9", "x", "x", ["q"], t), ("g", None, "9", "x", "x", ["q"], t),
     ]
     df = spark.createDataFrame(rows, "grp string, id long, version string, f string, body string, tags array<string>, loaded_at timestamp")
-    rank = [version_key("version"), filled_count(df, ["f", "body", "tags"]), F.col("loaded_at")]
+    rank = [version_key("version"), filled_count(df, ["f", "body", "tags"])]
+    plan = survivors(df, F.col("grp"), "id", rank, [])._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(" in plan  # the votes decide, also where only the record is asked for
     got = {r.group_id: r for r in survivors(df, F.col("grp"), "id", rank, ["f", "body", "tags"]).collect()}
     assert got.keys() == {2, 7}
     g = got[2]
