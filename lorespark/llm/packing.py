@@ -3,8 +3,12 @@
 Items are spread over shards of bounded size, whatever their source, so that a source with a third of all rows is as
 spread as any other. In each shard a deficit round-robin over the sources' queues fills one window (container) after
 the other: a source earns its share of every window's tokens and pays for what is taken, and the source with the
-greatest deficit gives its largest item that still fits. Deficits go on from window to window; what a shard starts
-with is the debt that all earlier shards leave behind, known beforehand from the totals per shard and source.
+greatest deficit gives its largest item that still fits. Deficits go on from window to window. What a shard starts with
+is the debt that all earlier shards leave behind: the source's share of all tokens packed there less its own tokens
+there, whether these shards held any of it or not; it is known beforehand from the totals per shard and source.
+
+Each shard may leave one window partly empty, so SHARD_ITEMS sets how much room is lost: about half a container for
+each 100,000 items.
 """
 
 from __future__ import annotations
@@ -60,13 +64,17 @@ def pack_shard(items: list[tuple], capacity: int, share: dict, deficit: dict) ->
     return windows
 
 
-def pack(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", source: str = "source", capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, scratch: Scratch | None = None) -> DataFrame:
+def pack(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", source: str = "source", capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, mixture: dict[str | None, float] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(key, container, piece, pieces, start, size) of items (key, size, source).
 
     container is a string `shard-window`; an item is one piece unless it is larger than the capacity, then it is cut
     every `capacity` tokens and its last, smaller piece is packed like any other item. Items of size 0 or null size
     take part with size 0; a null source is a source of its own; a repeated key is packed each time it occurs. An
     empty table gives no rows. Only key, size and source are shuffled, never a text.
+
+    mixture gives the target proportions of tokens by source (any positive weights; a source it does not name only fills
+    what the others leave); without it every window aims at the proportions of the whole table. As every item is packed,
+    a source that the mixture asks more of than there is runs out, and the rest goes on without it.
     """
     scratch = scratch or Scratch(items.sparkSession)
     cut = items.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long").alias("n"), F.coalesce(F.col(source).cast("string"), F.lit("\u0000")).alias("s"))
@@ -78,14 +86,20 @@ def pack(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", source:
     shards = max(1, -(-total // shard_items))
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("key", "piece"), F.lit(shards)).cast("int"))
     # totals per shard and source; the deficits a shard starts with
-    sums = cut.groupBy("shard", "s").agg(F.sum("size").alias("t"))
+    sums = scratch.save(cut.groupBy("shard", "s").agg(F.sum("size").alias("t")))
     whole = sums.groupBy("s").agg(F.sum("t").alias("all_s"))
-    grand = F.greatest(whole.agg(F.sum("all_s")).scalar(), F.lit(1))
-    grid = sums.join(whole, "s").withColumn("share", F.col("all_s") / grand)
-    per_shard = sums.groupBy("shard").agg(F.sum("t").alias("shard_t"))
-    grid = grid.join(per_shard, "shard").withColumn("owed", F.col("share") * F.col("shard_t") - F.col("t"))
-    carried = F.coalesce(F.sum("owed").over(W.partitionBy("s").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    grid = grid.select("shard", "s", "share", carried.alias("carried"))
+    if mixture is None:
+        share = F.col("all_s") / F.greatest(sums.agg(F.sum("t")).scalar(), F.lit(1))
+    else:
+        share = F.lit(0.0)
+        for name, weight in mixture.items():
+            share = F.when(F.col("s") == ("\u0000" if name is None else name), F.lit(weight / sum(mixture.values()))).otherwise(share)
+    earlier = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    # one row for each shard
+    packed = sums.groupBy("shard").agg(F.sum("t").alias("t")).select("shard", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("packed"))
+    own = F.coalesce(F.sum("t").over(W.partitionBy("s").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    grid = sums.withColumn("own", own).join(whole.select("s", share.alias("share")), "s").join(packed, "shard")
+    grid = grid.select("shard", "s", "share", (F.col("share") * F.col("packed") - F.col("own")).alias("carried"))
     full = cut.join(grid, ["shard", "s"]).select("shard", "key", "piece", "pieces", "size", "s", "share", "carried")
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:

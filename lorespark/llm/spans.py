@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from lorespark.llm.tokenizer import _blocks
 from lorespark.util.bloom import Bloom
 from lorespark.util.scratch import Scratch
-from lorespark.util.skew import lookup_join
+from lorespark.util.skew import lookup_join, pair_join
 
 MIN_CHARS = 200
 SEED = 100
@@ -260,14 +260,13 @@ class SharedSpans:
         # digests of units that occur in different texts
         units = _units(docs, min_chars, seed, every)
         shared = units.groupBy("h").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("h")
-        shared = save(shared)
-        maybe = Bloom(shared, F.col("h"), shared.count())
-        places = save(units.where(maybe.may_hold(F.col("h"))).select("h", "doc", "at"))
+        shared, n = self.scratch.save_counting(shared, k=F.count(F.lit(1)))
+        places = save(Bloom(shared, F.col("h"), n["k"]).filter(units, F.col("h")).select("h", "doc", "at"))
         others = self.copies.where("doc <> rep").select("doc")
         places = lookup_join(places, shared, "h", "inner").join(others, "doc", "left_anti")
-        places = save(places.groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("places")))
-        wanted = Bloom(places, F.col("doc"), places.count())
-        with_text = docs.where(wanted.may_hold(F.col("doc"))).join(places, "doc")
+        # as many places as a text has units
+        places, n = self.scratch.save_counting(places.groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("places")), k=F.count(F.lit(1)))
+        with_text = Bloom(places, F.col("doc"), n["k"]).filter(docs, F.col("doc")).join(places, "doc")
         rows = _surroundings(with_text, min_chars, seed).withColumn("c", F.xxhash64("h", "off", "ctx"))
         rows = save(rows)
         self.rows = rows.select("h", "c", "doc", "start", "off")
@@ -281,56 +280,68 @@ class SharedSpans:
         self.wide = save(_windows(counted.where(F.col("k") > direct), min_chars, seed))
 
     def _holders(self, rows: DataFrame, *group: str) -> DataFrame:
-        """(group…, set) of rows (group…, doc): a digest of the set of documents of each group."""
-        digest = F.struct(F.bit_xor(F.xxhash64("doc")).alias("x"), F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-        return rows.groupBy(*group).agg(digest.alias("set"))
+        """(group…, set) of rows (group…, doc): a digest of the set of documents of each group.
 
-    def pairs(self) -> DataFrame:
-        """(doc_a, doc_b): every pair of different documents with a common run, smaller key first, once."""
-        key = lambda c: F.struct(F.col("h"), F.col(c).alias("c"))
-        members = self.scratch.save(self.rows.select(key("c").alias("k"), "doc").distinct())
+        Sets are told apart by their size, their least and greatest key and two independent 64-bit sums over the keys.
+        """
+        mixed = [F.bit_xor(F.xxhash64("doc", F.lit(x))) for x in ("one", "two")]
+        return rows.groupBy(*group).agg(F.struct(mixed[0].alias("x"), mixed[1].alias("y"), F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).alias("set"))
+
+    def members(self) -> DataFrame:
+        """(doc, rep): every document that has copies, with the one of least key that stands for all of them."""
+        return self.copies.select("doc", "rep")
+
+    def links(self) -> DataFrame:
+        """(ra, rb): pairs of representatives with a common run, smaller key first, each once; with members() all pairs."""
+        save, key = self.scratch.save, lambda c: F.struct(F.col("h"), F.col(c).alias("c"))
+        members = save(self.rows.select(key("c").alias("k"), "doc").distinct())
         # neighbouring units of one passage have the same holders: one pair of classes stands for all of these
-        holders = self._holders(members, "k")
+        holders = save(self._holders(members, "k"))
         pairs = self.edges.select(key("ca").alias("ka"), key("cb").alias("kb"))
-        pairs = pairs.join(holders.select(F.col("k").alias("ka"), F.col("set").alias("sa")), "ka").join(holders.select(F.col("k").alias("kb"), F.col("set").alias("sb")), "kb")
-        pairs = self.scratch.save(pairs.groupBy("sa", "sb").agg(F.min(F.struct("ka", "kb")).alias("p")).select("p.*"))
-        left = lookup_join(members.select(F.col("k").alias("ka"), F.col("doc").alias("da")), pairs, "ka", "inner")
-        left, n = self.scratch.save_counting(left.select("kb", "da"), k=F.count(F.lit(1)))
-        both = lookup_join(left, members.select(F.col("k").alias("kb"), F.col("doc").alias("db")), "kb", "inner", total=n["k"])
+        pairs = save(lookup_join(pairs, holders.select(F.col("k").alias("ka"), F.col("set").alias("sa")), "ka", "inner"))
+        pairs = lookup_join(pairs, holders.select(F.col("k").alias("kb"), F.col("set").alias("sb")), "kb", "inner")
+        pairs = save(pairs.groupBy("sa", "sb").agg(F.min(F.struct("ka", "kb")).alias("p")).select("p.*"))
+        left = save(pair_join(members.select(F.col("k").alias("ka"), F.col("doc").alias("da")), pairs, "ka").select("kb", "da"))
+        both = pair_join(left, members.select(F.col("k").alias("kb"), F.col("doc").alias("db")), "kb")
         # and so have neighbouring windows: one window stands for all with the same holders
-        window = self.wide.select(key("c").alias("k"), F.struct("h", "i", "w").alias("g"))
-        inside = self.scratch.save(lookup_join(window, members, "k", "inner").select("g", "doc").distinct())
+        window = save(self.wide.select(key("c").alias("k"), F.struct("h", "i", "w").alias("g")))
+        inside = save(pair_join(window, members, "k").select("g", "doc").distinct())
         groups = self._holders(inside, "g").where("set.n > 1").groupBy("set").agg(F.min("g").alias("g")).select("g")
-        inside = self.scratch.save(inside.join(groups, "g", "left_semi"))
-        wide = lookup_join(inside.select("g", F.col("doc").alias("da")), inside.select("g", F.col("doc").alias("db")), "g", "inner")
+        inside = save(lookup_join(inside, groups, "g", "inner"))
+        wide = pair_join(inside.select("g", F.col("doc").alias("da")), inside.select("g", F.col("doc").alias("db")), "g")
         both = both.select("da", "db").unionByName(wide.select("da", "db"))
-        both = both.where("da <> db").select(F.least("da", "db").alias("ra"), F.greatest("da", "db").alias("rb")).distinct()
-        copies = self.copies
-        wider = both.join(copies.select(F.col("rep").alias("ra"), F.col("doc").alias("xa")), "ra", "left").join(copies.select(F.col("rep").alias("rb"), F.col("doc").alias("xb")), "rb", "left")
-        wider = wider.select(F.coalesce("xa", "ra").alias("x"), F.coalesce("xb", "rb").alias("y"))
-        twins = copies.select("rep", F.col("doc").alias("x")).join(copies.select("rep", F.col("doc").alias("y")), "rep").where("x < y").select("x", "y")
-        every = wider.unionByName(twins)
-        return every.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+        return both.where("da <> db").select(F.least("da", "db").alias("ra"), F.greatest("da", "db").alias("rb")).distinct()
+
+    def pairs(self) -> DataFrame:
+        """(doc_a, doc_b): every pair of different documents with a common run, smaller key first, once.
+
+        Made from links() and members(); a group of copies is split on both sides by its size.
+        """
+        save, links, copies = self.scratch.save, self.scratch.save(self.links()), self.members()
+        single = links.select(F.explode(F.array("ra", "rb")).alias("rep")).distinct().join(copies.select("rep").distinct(), "rep", "left_anti")
+        every = save(single.select("rep", F.col("rep").alias("doc")).unionByName(copies.select("rep", "doc")))
+        left = save(pair_join(links, every.select(F.col("rep").alias("ra"), F.col("doc").alias("x")), "ra").select("rb", "x"))
+        wider = pair_join(left, every.select(F.col("rep").alias("rb"), F.col("doc").alias("y")), "rb").select("x", "y")
+        twins = pair_join(copies.select("rep", F.col("doc").alias("x")), copies.select("rep", F.col("doc").alias("y")), "rep").where("x < y").select("x", "y")
+        return wider.unionByName(twins).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
     def _stretches(self) -> DataFrame:
         """(doc, begin, end, first_doc): the passages of texts without copies and of the first of each group of copies."""
         if not self.every:
             raise ValueError("passages need every=True")
-        e = self.edges
-        first = self.classes.select("h", "c", F.col("first.doc").alias("first"))
-        sides = e.select("h", F.col("ca").alias("c"), F.col("cb").alias("o"), "left", "right").unionByName(e.select("h", F.col("cb").alias("c"), F.col("ca").alias("o"), "left", "right"))
-        sides = sides.join(first.withColumnRenamed("c", "o"), ["h", "o"]).select("h", "c", "left", "right", "first")
-        groups = self.wide.groupBy("h", "i", "w").agg(F.sum("n").alias("docs")).where("docs > 1").drop("docs")
-        wide = self.wide.join(groups, ["h", "i", "w"]).join(first, ["h", "c"])
-        least = wide.groupBy("h", "i", "w").agg(F.min("first").alias("first"))
-        wide = self.wide.join(least, ["h", "i", "w"]).select("h", "c", (-F.col("i")).alias("left"), (F.col("i") + self.min).alias("right"), "first")
-        reach = sides.unionByName(wide).groupBy("h", "c", "left", "right").agg(F.min("first").alias("first"))
+        e, save, key = self.edges, self.scratch.save, lambda c: F.struct(F.col("h"), F.col(c).alias("c"))
+        first = save(self.classes.select(key("c").alias("k"), F.col("first.doc").alias("first")))
+        sides = e.select(key("ca").alias("to"), key("cb").alias("k"), "left", "right").unionByName(e.select(key("cb").alias("to"), key("ca").alias("k"), "left", "right"))
+        sides = lookup_join(save(sides), first, "k", "inner").select(F.col("to").alias("k"), "left", "right", "first")
+        wide = save(lookup_join(self.wide.select(key("c").alias("k"), F.struct("h", "i", "w").alias("g"), "n"), first, "k", "inner"))
+        least = wide.groupBy("g").agg(F.sum("n").alias("docs"), F.min("first").alias("least")).where("docs > 1").select("g", "least")
+        wide = lookup_join(wide, least, "g", "inner").select("k", (-F.col("g.i")).alias("left"), (F.col("g.i") + self.min).alias("right"), F.col("least").alias("first"))
+        reach = sides.unionByName(wide).groupBy("k", "left", "right").agg(F.min("first").alias("first"))
         # what reaches no further than an earlier holder says nothing new
-        earlier = W.partitionBy("h", "c").orderBy("first", F.desc("left"), F.desc("right")).rowsBetween(W.unboundedPreceding, -1)
+        earlier = W.partitionBy("k").orderBy("first", F.desc("left"), F.desc("right")).rowsBetween(W.unboundedPreceding, -1)
         reach = reach.withColumn("far_l", F.max("left").over(earlier)).withColumn("far_r", F.max("right").over(earlier))
         reach = reach.where("far_l is null or left > far_l or right > far_r").drop("far_l", "far_r")
-        keyed = lambda df: df.withColumn("k", F.struct("h", "c"))
-        parts = lookup_join(keyed(self.rows).drop("h", "c"), keyed(reach).drop("h", "c"), "k", "inner")
+        parts = pair_join(self.rows.select(key("c").alias("k"), "doc", "start", "off"), save(reach), "k")
         parts = parts.select("doc", (F.col("start") + F.col("off") - F.col("left")).alias("begin"), (F.col("start") + F.col("off") + F.col("right")).alias("end"), F.least("first", "doc").alias("first"))
         # a copy shares all of its text
         parts = parts.unionByName(self.copies.where("doc = rep").select("doc", F.lit(0).alias("begin"), F.col("size").alias("end"), F.col("doc").alias("first")))
@@ -347,7 +358,7 @@ class SharedSpans:
         """
         found = self.scratch.save(self._stretches())
         copies = self.copies.where("doc <> rep").select("doc", "rep")
-        again = lookup_join(copies, found.withColumnRenamed("doc", "rep"), "rep", "inner").drop("rep")
+        again = pair_join(copies, found.withColumnRenamed("doc", "rep"), "rep").drop("rep")
         return found.unionByName(again)
 
     def shared(self, documents: DataFrame, text: str = "text") -> DataFrame:

@@ -1,12 +1,14 @@
 """Encoding of a whole corpus with a public byte-level BPE vocabulary.
 
-A task takes its block of the corpus, cuts all texts into words at once (vector operations on code points), keeps each
-distinct word once and replays the merges over all of them together: an inverted index from token pair to positions
-is walked in rank order, each merge touches only its own positions and their neighbours, and every position that a
-merge turns into a known pair is filed under that pair's rank. A pair made by a merge always has a later rank than the
-merge, so one ascending pass is enough. The ids of the distinct words are then spread over the texts. Words are
-independent of each other, so blocks give the same ids as one index over the whole corpus would, without shuffling a
-single text.
+Corpus-level merge replay in three steps. Blocks of the corpus are cut into words at once (vector operations on code
+points); a text becomes the list of the numbers of its words, a block the list of its distinct words. The words of all
+blocks then meet by their hash, so that every distinct word of the corpus is replayed in one place: an inverted index
+from token pair to positions is walked in rank order, each merge touches only its own positions and their neighbours,
+and every position that a merge turns into a known pair is filed under that pair's rank. A pair made by a merge always
+has a later rank than the merge, so one ascending pass is enough. The ids go back to the blocks that asked for them and
+are spread over their texts. Texts themselves are never shuffled.
+
+count_tokens() needs no ids and replays block by block, which gives the same counts without any shuffle.
 """
 
 from __future__ import annotations
@@ -20,17 +22,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.util.scratch import Scratch
+
 #: Where the vocabulary files lie; a parameter of every function here.
 TOKENIZERS = os.environ.get("LORESPARK_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Code points of text that are encoded at a time in one task.
-BLOCK_CHARS = 4_000_000
+#: Code points of text, or of words, that are encoded at a time in one task; and of a block that has a list of words.
+BLOCK_CHARS, LISTED_CHARS = 4_000_000, 2_000_000
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-_BETWEEN = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
+# places where a word always ends: after a letter or digit, before a blank and another one, or before a sign but the apostrophe
+_BETWEEN = re.compile(r"(?<=[^\W_])(?: (?=[^\W_])|(?=[!\"#$%&()*+,\-./:;<=>?@\[\]^_{|}~]))")
 # The contractions of the vocabulary's splitting pattern, and its white space.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -209,9 +214,20 @@ def replay_merges(symbols: np.ndarray, words: np.ndarray, pair_codes: np.ndarray
     return sym[alive], words[alive]
 
 
-def encode_block(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts one after the other, number of ids of each text)."""
-    single, pair_codes, pair_ids, _ = _ranks(path)
+_sent: dict[tuple[str, str], object] = {}
+
+
+def _vocabulary(spark: SparkSession, path: str):  # noqa: ANN202
+    """The rank file as a broadcast: read once on the driver, of the size of the vocabulary."""
+    key = spark.sparkContext.applicationId, path
+    if key not in _sent:
+        _sent[key] = spark.sparkContext.broadcast(_ranks(path))
+    return _sent[key]
+
+
+def encode_block(texts: list[str], ranks: str | tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts one after the other, number of ids of each text); ranks is a rank file or what _ranks() made of it."""
+    single, pair_codes, pair_ids, _ = _ranks(ranks) if isinstance(ranks, str) else ranks
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     counts = np.zeros(len(texts), np.int64)
     if not sizes.sum():
@@ -236,7 +252,7 @@ def encode_block(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cut_long(text: str, most: int) -> list[str]:
-    """Parts of about `most` characters that encode like the whole: each cut lies before a single blank between words."""
+    """Parts of about `most` characters that encode like the whole: each cut lies where a word always ends."""
     parts, at = [], 0
     while len(text) - at > most:
         m = _BETWEEN.search(text, at + most)
@@ -247,11 +263,11 @@ def cut_long(text: str, most: int) -> list[str]:
     return [*parts, text[at:]]
 
 
-def encode_texts(texts: list[str], path: str, block_chars: int = BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[str], ranks: str | tuple, block_chars: int = BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray]:
     """encode_block() of a block; a single text that is longer than a block is encoded part by part."""
     if len(texts) != 1 or len(texts[0]) <= block_chars:
-        return encode_block(texts, path)
-    ids = [encode_block([part], path)[0] for part in cut_long(texts[0], block_chars)]
+        return encode_block(texts, ranks)
+    ids = [encode_block([part], ranks)[0] for part in cut_long(texts[0], block_chars)]
     return np.concatenate(ids), np.array([sum(map(len, ids))])
 
 
@@ -273,42 +289,158 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: str, block_chars: int) ->
         yield held
 
 
-def _run(df: DataFrame, column: str, out: str, path: str, block_chars: int, keep: list[str], schema: str) -> DataFrame:
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_block(texts: list[str], block_chars: int) -> tuple[list[np.ndarray], list[str]]:
+    """(numbers of the words of each text, distinct words) of a block; a single text longer than a block is cut part by part."""
+    if len(texts) == 1 and len(texts[0]) > block_chars:
+        known: dict[str, int] = {}
+        parts = []
+        for part in cut_long(texts[0], block_chars):
+            (numbers,), words = _cut_block([part], len(part))
+            parts.append(np.array([known.setdefault(w, len(known)) for w in words], np.int32)[numbers])
+        return [np.concatenate(parts)], list(known)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    whole = "".join(texts)
+    if not whole:
+        return [np.zeros(0, np.int32)] * len(texts), []
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    ends = np.cumsum(sizes)
+    starts = split_words(codes, ends)
+    rep, inverse = _distinct(codes, starts)
+    bounds = np.r_[starts, len(codes)]
+    words = [whole[a:b] for a, b in zip(starts[rep].tolist(), bounds[rep + 1].tolist())]
+    cuts = np.searchsorted(starts, ends, "left")
+    return np.split(inverse.astype(np.int32), cuts[:-1]), words
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    bounds = np.r_[0, np.cumsum(list(map(len, parts)))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32)))
+
+
+def _numbered(df: DataFrame, key: str, text: str, block_chars: int) -> DataFrame:
+    """(block, key, n array<int>, i, word): one row with the word numbers of each text, one for each distinct word of a block."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
+        from pyspark import TaskContext
 
-        for held in _blocks(batches, column, block_chars):
-            table = pa.Table.from_batches(held).combine_chunks()
-            if not table.num_rows:
+        block = TaskContext.get().partitionId() << 32
+        for held in _blocks(batches, text, block_chars):
+            t = pa.Table.from_batches(held).combine_chunks()
+            if not t.num_rows:
                 continue
-            ids, counts = encode_texts([t or "" for t in table[column].to_pylist()], path, block_chars)
-            if out == "ids":
-                bounds = np.r_[0, np.cumsum(counts)].astype(np.int32)
-                made = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))
-            else:
-                made = pa.array(counts)
-            kept = [table[c] for c in keep]
-            yield from pa.table([*kept, made], names=[*keep, out]).to_batches()
+            numbers, words = _cut_block([x or "" for x in t[text].to_pylist()], block_chars)
+            n, k = t.num_rows, len(words)
+            column = t[key].combine_chunks()
+            yield from pa.table([pa.array(np.full(n, block)), column, _lists(numbers), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names).to_batches()
+            for at in range(0, k, 50_000):
+                m = min(50_000, k - at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, column.type), pa.nulls(m, pa.list_(pa.int32())), pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(words[at : at + m], pa.string())], names=names)
+            block += 1
 
-    return df.select(*keep, column).mapInArrow(encode, schema)
+    names = ["block", "key", "n", "i", "word"]
+    kind = dict(df.dtypes)[key]
+    return df.select(key, text).mapInArrow(cut, f"block long, key {kind}, n array<int>, i int, word string")
 
 
-def _schema(df: DataFrame, keep: list[str], out: str, kind: str) -> str:
-    kinds = dict(df.dtypes)
-    return ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{out} {kind}"])
+def _replayed(words: DataFrame, ranks, block_chars: int) -> DataFrame:  # noqa: ANN001
+    """(block, i, word) → (block, i, ids): equal words lie side by side, each is replayed once."""
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
+        for held in _blocks(batches, "word", block_chars):
+            t = pa.Table.from_batches(held).combine_chunks()
+            if not t.num_rows:
+                continue
+            coded = t["word"].combine_chunks().dictionary_encode()
+            ids, counts = encode_words(coded.dictionary.to_pylist(), ranks.value)
+            which = coded.indices.to_numpy()
+            first, per = np.r_[0, np.cumsum(counts)][which], counts[which]
+            bounds = np.r_[0, np.cumsum(per)]
+            flat = ids[np.repeat(first - bounds[:-1], per) + np.arange(bounds[-1])]
+            made = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            yield from pa.table([t["block"], t["i"], made], names=["block", "i", "ids"]).to_batches()
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, i int, ids array<int>")
+
+
+def encode_words(words: list[str], ranks: str | tuple) -> tuple[np.ndarray, np.ndarray]:
+    """encode_block() of strings that are one word each."""
+    single, pair_codes, pair_ids, _ = _ranks(ranks) if isinstance(ranks, str) else ranks
+    data = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    if not sizes.sum():
+        return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
+    ids, word = replay_merges(single[np.frombuffer(b"".join(data), np.uint8)], np.repeat(np.arange(len(data)), sizes), pair_codes, pair_ids)
+    return ids.astype(np.int32), np.bincount(word, minlength=len(data)).astype(np.int64)
 
-def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, block_chars: int = BLOCK_CHARS) -> DataFrame:
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, key, n, i, ids), the words of each block in order before its texts → (key, ids)."""
+    block, flat, first, per = None, [], None, []
+    for b in batches:
+        blocks, is_word = b["block"].to_numpy(), np.asarray(b["i"].is_valid())
+        if not len(blocks):
+            continue
+        change = np.flatnonzero(np.r_[True, (blocks[1:] != blocks[:-1]) | (is_word[1:] != is_word[:-1]), True])
+        for x, y in zip(change, change[1:]):
+            part = b.slice(x, y - x)
+            if block != blocks[x]:
+                block, flat, first, per = blocks[x], [], None, []
+            lists = part["ids" if is_word[x] else "n"]
+            values, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            if is_word[x]:
+                flat.append(values)
+                per.append(sizes)
+                continue
+            if first is None:
+                flat, per = [np.concatenate([*flat, np.zeros(0, np.int32)])], [np.concatenate([*per, np.zeros(0, np.int64)]).astype(np.int64)]
+                first = np.r_[0, np.cumsum(per[0])]
+            count = per[0][values]
+            bounds = np.r_[0, np.cumsum(count)]
+            ids = flat[0][np.repeat(first[values] - bounds[:-1], count) + np.arange(bounds[-1])]
+            ends = bounds[np.r_[0, np.cumsum(sizes)]]
+            if ends[-1] < 1 << 31:
+                made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part["key"], made], names=["key", "ids"])
+                continue
+            for r in range(len(sizes)):
+                made = pa.array([ids[ends[r] : ends[r + 1]].astype(np.int32)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part["key"].slice(r, 1), made], names=["key", "ids"])
+
+
+def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, block_chars: int = LISTED_CHARS, scratch: Scratch | None = None) -> DataFrame:
     """(key, ids array<int>) of every row, without special tokens; [] for a null or empty text.
 
     The strings of special tokens are ordinary text. Rows with a null key and repeated keys are encoded like any other.
+    A block asks for each of its words once, so no word is hot however frequent it is.
     """
-    return _run(df, text, "ids", f"{tokenizers}/{vocabulary}", block_chars, [key], _schema(df, [key], "ids", "array<int>"))
+    scratch = scratch or Scratch(df.sparkSession)
+    cut = scratch.save(_numbered(df, key, text, block_chars))
+    ids = _replayed(cut.where("i is not null").select("block", "i", "word"), _vocabulary(df.sparkSession, f"{tokenizers}/{vocabulary}"), BLOCK_CHARS)
+    kind = dict(df.dtypes)[key]
+    words = ids.select("block", F.lit(None).cast(kind).alias("key"), F.lit(None).cast("array<int>").alias("n"), "i", "ids")
+    texts = cut.where("i is null").select("block", "key", "n", "i", F.lit(None).cast("array<int>").alias("ids"))
+    met = words.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("i").asc_nulls_last())
+    return met.mapInArrow(_spread, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids")
 
 
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(keep…, n_tokens long) of every row; 0 for a null or empty text."""
-    return _run(df, text, "n_tokens", f"{tokenizers}/{vocabulary}", block_chars, keep, _schema(df, keep, "n_tokens", "bigint"))
+    ranks = _vocabulary(df.sparkSession, f"{tokenizers}/{vocabulary}")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
+        for held in _blocks(batches, text, block_chars):
+            table = pa.Table.from_batches(held).combine_chunks()
+            if table.num_rows:
+                _, counts = encode_texts([t or "" for t in table[text].to_pylist()], ranks.value, block_chars)
+                yield from pa.table([*[table[c] for c in keep], pa.array(counts)], names=[*keep, "n_tokens"]).to_batches()
+
+    kinds = dict(df.dtypes)
+    return df.select(*keep, text).mapInArrow(count, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens bigint"]))
 
 
 def decode(ids: DataFrame, key: str = "doc_id", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
