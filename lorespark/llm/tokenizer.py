@@ -289,38 +289,59 @@ def _blocks(batches: Iterator[pa.RecordBatch], column: str, block_chars: int) ->
         yield held
 
 
-def _cut_block(texts: list[str], block_chars: int) -> tuple[list[np.ndarray], list[str]]:
-    """(numbers of the words of each text, distinct words) of a block; a single text longer than a block is cut part by part."""
+def _cut_block(texts: list[str], block_chars: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(word numbers of all texts one after the other, number of words of each text, distinct words, frequent ones first).
+
+    A single text longer than a block is cut part by part.
+    """
     if len(texts) == 1 and len(texts[0]) > block_chars:
         known: dict[str, int] = {}
         parts = []
         for part in cut_long(texts[0], block_chars):
-            (numbers,), words = _cut_block([part], len(part))
-            parts.append(np.array([known.setdefault(w, len(known)) for w in words], np.int32)[numbers])
-        return [np.concatenate(parts)], list(known)
+            numbers, _, words = _cut_block([part], len(part))
+            parts.append(np.array([known.setdefault(w, len(known)) for w in words], np.int64)[numbers])
+        return np.concatenate(parts), np.array([sum(map(len, parts))]), list(known)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     whole = "".join(texts)
     if not whole:
-        return [np.zeros(0, np.int32)] * len(texts), []
+        return np.zeros(0, np.int64), np.zeros(len(texts), np.int64), []
     codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    ends = np.cumsum(sizes)
-    starts = split_words(codes, ends)
+    starts = split_words(codes, np.cumsum(sizes))
     rep, inverse = _distinct(codes, starts)
-    bounds = np.r_[starts, len(codes)]
-    words = [whole[a:b] for a, b in zip(starts[rep].tolist(), bounds[rep + 1].tolist())]
-    cuts = np.searchsorted(starts, ends, "left")
-    return np.split(inverse.astype(np.int32), cuts[:-1]), words
+    order = np.argsort(-np.bincount(inverse), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    begin, end = starts[rep[order]], np.r_[starts, len(codes)][rep[order] + 1]
+    return place[inverse], np.diff(np.r_[0, np.searchsorted(starts, np.cumsum(sizes))]), [whole[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+
 
+def _planes(numbers: np.ndarray, n: int) -> bytes:
+    """Numbers below n as bytes, the low bytes of all first: the high ones are mostly zero and take no room."""
+    width = 2 if n <= 1 << 16 else 4
+    return numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
+
+def _from_planes(data: bytes, count: int) -> np.ndarray:
+    if not count:
+        return np.zeros(0, np.int64)
+    width = len(data) // count
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, count).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def _ints(parts: list[np.ndarray]) -> pa.Array:
     bounds = np.r_[0, np.cumsum(list(map(len, parts)))].astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32)))
 
 
-def _numbered(df: DataFrame, key: str, text: str, block_chars: int) -> DataFrame:
-    """(block, key, n array<int>, i, word): one row with the word numbers of each text, one for each distinct word of a block."""
+def _numbered(df: DataFrame, key: str, text: str, block_chars: int, ranges: int) -> DataFrame:
+    """One row for each block: its keys, the number of words of each text and the numbers of all words (keys, sizes, n).
+    And one for each block and range of word hashes: numbers and words (r, i, words)."""
+    kind = dict(df.dtypes)[key]
+    names = ["block", "keys", "sizes", "n", "r", "i", "words"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
         import pyarrow.compute  # noqa: F401
         from pyspark import TaskContext
 
@@ -329,40 +350,54 @@ def _numbered(df: DataFrame, key: str, text: str, block_chars: int) -> DataFrame
             t = pa.Table.from_batches(held).combine_chunks()
             if not t.num_rows:
                 continue
-            numbers, words = _cut_block([x or "" for x in t[text].to_pylist()], block_chars)
-            n, k = t.num_rows, len(words)
-            column = t[key].combine_chunks()
-            yield from pa.table([pa.array(np.full(n, block)), column, _lists(numbers), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=names).to_batches()
-            for at in range(0, k, 50_000):
-                m = min(50_000, k - at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.nulls(m, column.type), pa.nulls(m, pa.list_(pa.int32())), pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(words[at : at + m], pa.string())], names=names)
+            numbers, sizes, words = _cut_block([x or "" for x in t[text].to_pylist()], block_chars)
+            keys = pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t[key].combine_chunks())
+            one = [pa.array([block]), keys, _ints([sizes]), pa.array([_planes(numbers, len(words))], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*one, pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.string()))], names=names)
+            if words:
+                of = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % ranges
+                order = np.argsort(of, kind="stable")
+                cuts = np.flatnonzero(np.r_[True, np.diff(of[order]) > 0, True])
+                n, bounds = len(cuts) - 1, pa.array(cuts.astype(np.int32))
+                own = pa.ListArray.from_arrays(bounds, pa.array([words[i] for i in order.tolist()], pa.string()))
+                each = [pa.array(of[order][cuts[:-1]].astype(np.int32)), pa.ListArray.from_arrays(bounds, pa.array(order.astype(np.int32))), own]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, keys.type), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary()), *each], names=names)
             block += 1
 
-    names = ["block", "key", "n", "i", "word"]
-    kind = dict(df.dtypes)[key]
-    return df.select(key, text).mapInArrow(cut, f"block long, key {kind}, n array<int>, i int, word string")
+    return df.select(key, text).mapInArrow(cut, f"block long, keys array<{kind}>, sizes array<int>, n binary, r int, i array<int>, words array<string>")
 
 
 def _replayed(words: DataFrame, ranks, block_chars: int) -> DataFrame:  # noqa: ANN001
-    """(block, i, word) → (block, i, ids): equal words lie side by side, each is replayed once."""
+    """(block, r, i, words) → (block, i, counts, ids): what the words of one range in all blocks are encoded to, each replayed once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
+        import pyarrow.compute as pc
 
-        for held in _blocks(batches, "word", block_chars):
+        def replay(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            if not t.num_rows:
-                continue
-            coded = t["word"].combine_chunks().dictionary_encode()
+            rows, i = t["words"].combine_chunks(), t["i"].combine_chunks()
+            coded = rows.flatten().dictionary_encode()
             ids, counts = encode_words(coded.dictionary.to_pylist(), ranks.value)
             which = coded.indices.to_numpy()
             first, per = np.r_[0, np.cumsum(counts)][which], counts[which]
-            bounds = np.r_[0, np.cumsum(per)]
-            flat = ids[np.repeat(first - bounds[:-1], per) + np.arange(bounds[-1])]
-            made = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
-            yield from pa.table([t["block"], t["i"], made], names=["block", "i", "ids"]).to_batches()
-
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block long, i int, ids array<int>")
+            ends = np.r_[0, np.cumsum(per)]
+            flat = ids[np.repeat(first - ends[:-1], per) + np.arange(ends[-1])]
+            bounds = np.r_[0, np.cumsum(np.asarray(rows.value_lengths()))]
+            lists = lambda b, v: pa.ListArray.from_arrays(pa.array(b.astype(np.int32)), pa.array(v.astype(np.int32)))
+            return pa.RecordBatch.from_arrays([t["block"].combine_chunks(), lists(bounds, i.flatten().to_numpy()), lists(bounds, per), lists(ends[bounds], flat)], names=["block", "i", "counts", "ids"])
+
+        held, size = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += pc.sum(pc.utf8_length(b["words"].flatten())).as_py() or 0
+            if size > block_chars:
+                yield replay(held)
+                held, size = [], 0
+        if held:
+            yield replay(held)
+
+    return words.repartition("r").sortWithinPartitions("r").mapInArrow(encode, "block long, i array<int>, counts array<int>, ids array<int>")
 
 
 def encode_words(words: list[str], ranks: str | tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -377,53 +412,42 @@ def encode_words(words: list[str], ranks: str | tuple) -> tuple[np.ndarray, np.n
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, key, n, i, ids), the words of each block in order before its texts → (key, ids)."""
-    block, flat, first, per = None, [], None, []
+    """(block, keys, sizes, n, i, counts, ids), the words of each block before its texts → (key, ids)."""
+    block, known = None, []
     for b in batches:
-        blocks, is_word = b["block"].to_numpy(), np.asarray(b["i"].is_valid())
-        if not len(blocks):
-            continue
-        change = np.flatnonzero(np.r_[True, (blocks[1:] != blocks[:-1]) | (is_word[1:] != is_word[:-1]), True])
-        for x, y in zip(change, change[1:]):
-            part = b.slice(x, y - x)
-            if block != blocks[x]:
-                block, flat, first, per = blocks[x], [], None, []
-            lists = part["ids" if is_word[x] else "n"]
-            values, sizes = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
-            if is_word[x]:
-                flat.append(values)
-                per.append(sizes)
+        for r in range(b.num_rows):
+            if block != b["block"][r]:
+                block, known = b["block"][r], []
+            if not b["n"][r].is_valid:
+                known.append([b[c][r].values.to_numpy() for c in ("i", "counts", "ids")])
                 continue
-            if first is None:
-                flat, per = [np.concatenate([*flat, np.zeros(0, np.int32)])], [np.concatenate([*per, np.zeros(0, np.int64)]).astype(np.int64)]
-                first = np.r_[0, np.cumsum(per[0])]
-            count = per[0][values]
-            bounds = np.r_[0, np.cumsum(count)]
-            ids = flat[0][np.repeat(first[values] - bounds[:-1], count) + np.arange(bounds[-1])]
-            ends = bounds[np.r_[0, np.cumsum(sizes)]]
-            if ends[-1] < 1 << 31:
-                made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part["key"], made], names=["key", "ids"])
-                continue
-            for r in range(len(sizes)):
-                made = pa.array([ids[ends[r] : ends[r + 1]].astype(np.int32)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part["key"].slice(r, 1), made], names=["key", "ids"])
+            i, counts, ids = (np.concatenate([k[x] for k in known] or [np.zeros(0, np.int32)]) for x in range(3))
+            per, first = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+            per[i] = counts
+            first[i] = np.r_[0, np.cumsum(counts)][:-1]
+            sizes = b["sizes"][r].values.to_numpy()
+            n = _from_planes(b["n"][r].as_py(), int(sizes.sum()))
+            ends = np.r_[0, np.cumsum(per[n])]
+            flat = ids[np.repeat(first[n] - ends[:-1], per[n]) + np.arange(ends[-1])]
+            made = pa.ListArray.from_arrays(pa.array(ends[np.r_[0, np.cumsum(sizes)]].astype(np.int32)), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b["keys"][r].values, made], names=["key", "ids"])
 
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, block_chars: int = LISTED_CHARS, scratch: Scratch | None = None) -> DataFrame:
     """(key, ids array<int>) of every row, without special tokens; [] for a null or empty text.
 
     The strings of special tokens are ordinary text. Rows with a null key and repeated keys are encoded like any other.
-    A block asks for each of its words once, so no word is hot however frequent it is.
+    A block asks for each of its words once, so no word is hot however frequent it is; what is shuffled are the distinct
+    words of each block and two bytes or less for each word of a text.
     """
-    scratch = scratch or Scratch(df.sparkSession)
-    cut = scratch.save(_numbered(df, key, text, block_chars))
-    ids = _replayed(cut.where("i is not null").select("block", "i", "word"), _vocabulary(df.sparkSession, f"{tokenizers}/{vocabulary}"), BLOCK_CHARS)
-    kind = dict(df.dtypes)[key]
-    words = ids.select("block", F.lit(None).cast(kind).alias("key"), F.lit(None).cast("array<int>").alias("n"), "i", "ids")
-    texts = cut.where("i is null").select("block", "key", "n", "i", F.lit(None).cast("array<int>").alias("ids"))
-    met = words.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("i").asc_nulls_last())
-    return met.mapInArrow(_spread, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids")
+    spark, scratch = df.sparkSession, scratch or Scratch(df.sparkSession)
+    cut = scratch.save(_numbered(df, key, text, block_chars, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ids = _replayed(cut.where("r is not null").select("block", "r", "i", "words"), _vocabulary(spark, f"{tokenizers}/{vocabulary}"), BLOCK_CHARS)
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in [*cut.dtypes, *ids.dtypes]}
+    words = ids.select("block", none["keys"], none["sizes"], none["n"], "i", "counts", "ids")
+    texts = cut.where("r is null").select("block", "keys", "sizes", "n", none["i"], none["counts"], none["ids"])
+    met = words.unionByName(texts).repartition("block").sortWithinPartitions("block", F.col("n").isNotNull())
+    return met.mapInArrow(_spread, f"key {dict(df.dtypes)[key]}, ids array<int>").select(F.col("key").alias(key), "ids")
 
 
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, block_chars: int = BLOCK_CHARS) -> DataFrame:
