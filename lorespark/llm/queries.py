@@ -9,6 +9,7 @@ from lorespark.functions.paths import page_key
 from lorespark.functions.versions import version_key
 from lorespark.llm.lookalikes import canonical_names, lookalike_pairs
 from lorespark.llm.packing import containers, pack
+from lorespark.llm.repeats import MIN_UNIT, remove_repeats, repeated_units
 from lorespark.llm.spans import SharedSpans
 from lorespark.llm.splitting import split_oversized
 from lorespark.llm.survivors import filled_count, survivors
@@ -130,7 +131,41 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "begin", "end", "first_doc", (F.col("doc") == F.col("first_doc")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_names, p5_found, p5_topics, p5_members, p7_ids, p7_counts, p8_found, p8_pack, p8_containers, p9_found, p9_shared, p9_passages)}
+def p9_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents with a common run between the first ones of each group of copies."""
+    found = SharedSpans(table(spark, d, "documents"))
+    return found.links().withColumnsRenamed({"ra": "doc_a", "rb": "doc_b"})
+
+
+def p9_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of at least 200 characters that has copies, with the one that stands for all of them in p9_links."""
+    return SharedSpans(table(spark, d, "documents")).members().withColumnsRenamed({"doc": "doc_id", "rep": "first_doc"})
+
+
+def p9_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated lines with their offsets: the earliest one is kept, the rest is removed."""
+    return repeated_units(table(spark, d, "documents"))
+
+
+def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """All texts without the paragraphs that stand earlier in the corpus."""
+    return remove_repeats(table(spark, d, "documents"), unit="paragraph")
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers hold of each source, checked against what the documents have: pieces, tokens, greatest fill."""
+    docs = table(spark, d, "documents")
+    scratch = Scratch(spark)
+    counted = scratch.save(count_tokens(docs, ["doc_id", "source"]))
+    packed = scratch.save(pack(counted, scratch=scratch))
+    fill = packed.groupBy("container").agg(F.sum("size").alias("used"))
+    most = fill.agg(F.max("used")).scalar()
+    held = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("packed"))
+    every = counted.join(held, "doc_id", "left").groupBy("source")
+    return every.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("pieces").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.sum("packed").alias("packed")).withColumn("fullest", most)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_names, p5_found, p5_topics, p5_members, p7_ids, p7_counts, p8_found, p8_pack, p8_containers, p8_sources, p9_found, p9_links, p9_copies, p9_shared, p9_passages, p9_lines, p9_cleaned)}
 
 _VK = "(case when trim(coalesce({v}, '')) = '' then cast([] as bigint[]) else list_transform(string_split(trim({v}), '.'), lambda x: coalesce(try_cast(trim(x) as bigint), 0)) end)"
 _LONG = "length(trim({c}, ' ' || chr(9) || chr(13) || chr(10) || chr(160))) > 1200"
@@ -162,4 +197,12 @@ union all select distinct 'objects', x.s, least(x.k, y.k), greatest(x.k, y.k) fr
 m as (select id, lower(regexp_replace(full_name, '[{_SPACE}]+', '', 'g')) k, language l, list_max(list_transform(list_append(coalesce(versions, []), version), lambda w: {_VK.format(v="w")})) v, {" + ".join(_ON.format(c=c) for c in ("summary", "description", "syntax", "returns"))} f, loaded_at from api_members where full_name is not null)
 select 'api_topics' tab, min(id) group_id, arg_max(id, (v, f, loaded_at, id)) best_id from t group by k having count(*) > 1
 union all select 'api_members', min(id), arg_max(id, (v, f, loaded_at, id)) from m group by k, l having count(*) > 1""",
+    "p9_copies": """with t as (select doc_id, text, min(doc_id) over (partition by text) first_doc, count(*) over (partition by text) n from documents where length(text) >= 200)
+select doc_id, first_doc from t where n > 1""",
+    "p9_lines": f"""with d as (select doc_id, string_split(translate(text, chr(13), chr(10)), chr(10)) l from documents where text <> ''),
+u as (select doc_id, unnest(l) line, generate_subscripts(l, 1) i from d),
+o as (select doc_id, line, (sum(length(line) + 1) over (partition by doc_id order by i rows unbounded preceding) - length(line) - 1)::int as "begin" from u),
+n as (select doc_id, "begin", ("begin" + length(line))::int as "end", trim(regexp_replace(line, '[ \\t\\x{{b}}\\x{{c}}\\x{{a0}}]+', ' ', 'g'), ' ') k from o),
+g as (select *, count(*) over (partition by k) c, first_value(doc_id) over w first_doc, first_value("begin") over w first_at from n where length(k) >= {MIN_UNIT} window w as (partition by k order by doc_id, "begin"))
+select doc_id, "begin", "end", first_doc, doc_id = first_doc and "begin" = first_at kept from g where c > 1""",
 }

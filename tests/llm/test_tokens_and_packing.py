@@ -104,6 +104,30 @@ def test_mixture_is_kept():
     assert all(200 <= x <= 300 for x in got[:-1]) and sum(got) == 30_000
 
 
+def test_rare_source_over_many_shards(spark):
+    """A source of three items in ten shards: what it is owed by the shards without it comes with its first item."""
+    items = [(i, 100, "big") for i in range(2000)] + [(9000 + i, 100, "rare") for i in range(3)]
+    df = spark.createDataFrame(items, "doc_id long, n_tokens long, source string")
+    rows = pack(df, capacity=1000, shard_items=200).collect()
+    assert len(rows) == 2003 and len({r.container.split("-")[0] for r in rows}) == 11
+    # its share of the tokens packed before is more than what it had, so it is first or second in the first window that can take it
+    for r in rows:
+        if r.doc_id >= 9000 and int(r.container.split("-")[0]) > 3:
+            assert int(r.container.split("-")[1]) <= 1, r
+
+
+def test_target_mixture(spark):
+    items = [(i, 100, "a") for i in range(900)] + [(1000 + i, 100, None) for i in range(900)] + [(5000 + i, 100, "other") for i in range(50)]
+    df = spark.createDataFrame(items, "doc_id long, n_tokens long, source string")
+    source = {i: s for i, _, s in items}
+    used = {}
+    for r in pack(df, capacity=1000, mixture={"a": 3, None: 1}).collect():
+        used.setdefault(int(r.container.split("-")[1]), []).append(source[r.doc_id])
+    first = [w for k, w in used.items() if k < 100]
+    share = sum(w.count("a") for w in first) / sum(map(len, first))
+    assert 0.74 <= share <= 0.76 and all(6 <= w.count("a") <= 9 for w in first) and sum(map(len, used.values())) == len(items)
+
+
 def test_found(spark, reference):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = {r.doc_id for r in docs.collect() if len(reference.encode_ordinary(r.text or "")) > 4096}
