@@ -19,7 +19,7 @@ def main(args: list[str] | None = None) -> None:
     if a.what == "list":
         print("\n".join(sorted(registry.queries())))
     elif a.what == "plan":
-        print(plan(a.name))
+        print(plan(local_session(), a.name))
     else:
         df = registry.queries()[a.name](local_session(), a.dir)
         df.show(a.rows, truncate=80) if a.what == "run" else df.explain("formatted")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lorespark.operators.hierarchy import resolve_hierarchy
 from lorespark.util.scratch import Scratch
-from lorespark.util.skew import lookup_join
+from lorespark.util.skew import lookup_join, sketch
 
 
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -37,6 +37,24 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None, scratch:
     return seen
 
 
+def chain(following: DataFrame, seeds: DataFrame, most: int, scratch: Scratch | None = None) -> DataFrame:
+    """(seed, node, step) of the walk from each seed along following (a, b), unique by a, `most` nodes at most, none twice.
+
+    All walks take one step in one round; a node that many of them meet is salted.
+    """
+    scratch = scratch or Scratch(following.sparkSession)
+    following = scratch.save(following.select(F.col("a").alias("node"), "b").where("node is not null and b is not null"))
+    front, n = scratch.save_counting(seeds.where("seed is not null").select("seed", F.col("seed").alias("node"), F.lit(0).alias("step"), F.array("seed").alias("seen")), k=F.count(F.lit(1)), hot=sketch("node"))
+    out = front
+    for step in range(1, most):
+        if not n["k"]:
+            break
+        on = lookup_join(front, following, "node", "inner", total=n["k"], hot=n["hot"]).where(~F.array_contains("seen", F.col("b")))
+        front, n = scratch.save_counting(on.select("seed", F.col("b").alias("node"), F.lit(step).alias("step"), F.array_append("seen", F.col("b")).alias("seen")), k=F.count(F.lit(1)), hot=sketch("node"))
+        out = out.unionByName(front)
+    return out.select("seed", "node", "step")
+
+
 def page_sections(chunks: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(key, section_path, breadcrumb, entity_type) of contents (id, parent_id, title_ru, title_en, html_path).
 
@@ -57,8 +75,8 @@ def page_sections(chunks: DataFrame, scratch: Scratch | None = None) -> DataFram
     return flat.groupBy("key").agg(F.min_by(F.struct("section_path", "breadcrumb", "entity_type"), "id").alias("x")).select("key", "x.*")
 
 
-def text_diff(pairs: DataFrame, left: str, right: str, most_lines: int = 400) -> DataFrame:
-    """pairs with `diff`: the unified difference of two texts, '' if they are equal; nulls count as ''."""
+def text_diff(pairs: DataFrame, left: str, right: str, most_lines: int | None = None) -> DataFrame:
+    """pairs with `diff`: the unified difference of two texts, '' if they are equal; nulls count as ''. Whole, unless most_lines is given."""
 
     @F.pandas_udf("string")
     def diff(a: pd.Series, b: pd.Series) -> pd.Series:

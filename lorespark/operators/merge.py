@@ -62,7 +62,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def signature(files: DataFrame, path: str, size: str) -> DataFrame:
     """(digest) one SHA-256 over all (path, size), whatever their order.
 
-    The listing of a folder is bounded by its files; per-file digests are sorted once.
+    Lines are digested in 4,096 buckets by the digest of the line, each sorted by itself, and the digests of the buckets
+    once more; so no task holds the whole listing.
     """
     line = F.concat_ws(":", F.col(path), F.col(size).cast("string"))
-    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+    lines = files.select(line.alias("line"), F.substring(F.sha2(line, 256), 1, 3).alias("bucket"))
+    buckets = lines.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("h"))
+    # one row for each bucket
+    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"))

@@ -23,9 +23,10 @@ def object_kind(path: Column | str, title: Column | str) -> Column:
         F.when(has("/tables/"), "table")
         .when(p.rlike("(^|/)shquery_"), "query_topic")
         .when(p.rlike("(^|/)(shclang_|embedlang|shlang_ru/)"), "language_topic")
-        .when(F.startswith(t, F.lit("Глобальный контекст")) | p.endswith("/global context.html"), "global_context")
+        .when(F.startswith(t, F.lit("Глобальный контекст")), "global_context")
         .when(F.startswith(t, F.lit("ОбъектМетаданных:")), "metadata_object")
         .when(F.contains(F.lower(t), F.lit("менеджер")), "manager")
+        .when(p.endswith("/global context.html"), "global_context")
         .when(has("/enums/") | F.contains(F.lower(t), F.lit("перечислен")), "enum")
         .when(has("/collections/") | F.contains(F.lower(t), F.lit("коллекц")), "collection")
         .when(has("/objects/"), "type")

@@ -241,7 +241,8 @@ def content_merge_last(m: DataFrame) -> DataFrame:
     return m.groupBy(text_or_empty("language").alias("language"), content_hash(m, ["description", "full_name"]).alias("content_hash")).agg(F.max("id").alias("last_id"))
 
 
-@q("select sha256(string_agg(line, chr(10) order by line)) digest from (select doc_id || ':' || coalesce(n_chars, 0) line from documents)")
+@q("""with l as (select doc_id || ':' || coalesce(n_chars, 0) line from documents), b as (select sha256(line)[1:3] bucket, sha256(string_agg(line, chr(10) order by line)) h from l group by 1)
+select sha256(coalesce(string_agg(h, chr(10) order by bucket), '')) digest from b""")
 def folder_signature(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("n_chars", F.lit(0)).alias("size"))
     return signature(x, "path", "size")

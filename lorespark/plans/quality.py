@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from lorespark.functions.text import any_of, contains_any, squeeze, text_or_empty
 from lorespark.functions.versions import version_key
-from lorespark.operators.graph import page_sections, reach
+from lorespark.operators.graph import chain, page_sections, reach
 from lorespark.operators.hierarchy import resolve_hierarchy
 from lorespark.operators.metrics import last_n, tool_metrics, trailing_counts
 from lorespark.operators.quality import coverage, hit_cards, latency, percent
@@ -16,6 +16,7 @@ from lorespark.plans._queries import Book
 from lorespark.plans.core_problems import _toc_nodes
 from lorespark.plans.search import VK
 from lorespark.plans.tables import table
+from lorespark.streaming.events import admitted
 
 q = Book()
 
@@ -164,6 +165,12 @@ def request_counts(spark: SparkSession, d: str) -> DataFrame:
     return e.agg(F.count("*").alias("total"), F.count_if(F.col("ts") >= newest - F.expr("interval 1 hour")).alias("last_hour"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
 
+@q()
+def rate_limit_admitted(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each event passes a limit of two calls of its kind in a minute; refused calls don't count."""
+    return admitted(table(spark, d, "events"), "event_type", "ts", "event_id", 2)
+
+
 @q("select event_id, recent, recent > 3 limited from (select event_id, count(*) over (partition by user_id order by ts range between interval 60 seconds preceding and current row) recent from events)")
 def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
     return trailing_counts(table(spark, d, "events"), "user_id", "ts", 60).select("event_id", "recent", (F.col("recent") > 3).alias("limited"))
@@ -190,19 +197,14 @@ def breadcrumb_recursive(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("node").alias("id"), F.array_join(above, "/").alias("breadcrumb"), "depth")
 
 
-_EDGES = [("Query", "Execute"), ("Execute", "Select"), ("Select", "Next"), ("Next", "Close"), ("A", "B"), ("B", "A")]
-
-
-@q(f"""with recursive e(a, b) as (values {', '.join(f"('{a}', '{b}')" for a, b in _EDGES)}),
-w as (select s as seed, s as node, 0 as step, [s] as seen from (values ('Query'), ('A')) t(s) union all select seed, b, step + 1, list_append(seen, b) from w join e on e.a = w.node where not list_contains(seen, b) and step < 7)
+@q("""with recursive e as (select from_id a, max(to_id) b from config_relations where from_id is not null and to_id is not null group by 1),
+w as (select a as seed, a as node, 0 as step, [a] as seen from e where starts_with(a, 'DataProcessor.') union all select seed, b, step + 1, list_append(seen, b) from w join e on e.a = w.node where not list_contains(seen, b) and step < 7)
 select seed, node, step from w""")
 def workflow_path(spark: SparkSession, d: str) -> DataFrame:
-    """Steps of a workflow from two starts, eight at most, no step twice (the edges are a fixed short list)."""
-    spark.createDataFrame(_EDGES, "a string, b string").createOrReplaceTempView("_workflow_edges")
-    return spark.sql("""with recursive w(seed, node, step, seen) as (
-      select s, s, 0, array(s) from values ('Query'), ('A') t(s)
-      union all select seed, b, step + 1, array_append(seen, b) from w join _workflow_edges e on e.a = w.node where not array_contains(seen, b) and step < 7)
-      select seed, node, step from w""")
+    """From every data processor along one link of each record, eight records at most, none twice."""
+    r = table(spark, d, "config_relations").where("from_id is not null and to_id is not null")
+    following = r.groupBy(F.col("from_id").alias("a")).agg(F.max("to_id").alias("b"))
+    return chain(following, r.where(F.startswith("from_id", F.lit("DataProcessor."))).select(F.col("from_id").alias("seed")).distinct(), 8)
 
 
 _SCRIPT = ["Процедура", "Функция", "КонецПроцедуры", "Возврат", "Если ", "Для ", "Новый ", "Запрос"]
@@ -250,13 +252,6 @@ def lineitem_summary(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"), F.round(F.avg("l_discount"), 6).alias("disc"))
 
 
-@q("""select case when contains(lower(coalesce(text, '')), 'ошибк') or contains(lower(coalesce(text, '')), 'error') then 'problem' when contains(lower(coalesce(text, '')), 'пример') then 'example' else 'general' end intent, count(*) n from documents group by 1""")
-def document_intents(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower(text_or_empty("text"))
-    intent = F.when(contains_any(low, ["ошибк", "error"]), "problem").when(contains_any(low, ["пример"]), "example").otherwise("general")
-    return table(spark, d, "documents").groupBy(intent.alias("intent")).agg(F.count("*").alias("n"))
-
-
 @q("""with recursive e as (select distinct from_id a, to_id b from config_relations where from_id is not null and to_id is not null),
 w as (select 'DataProcessor.ПланМакетРеестр' node, 0 depth union select b, depth + 1 from w join e on e.a = w.node where depth < 4)
 select node, min(depth) depth from w group by 1""")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from lorespark.functions.text import any_of, code_blocks, contains_any, keyword_tokens, keywords, text_or_empty, tokens
 from lorespark.functions.versions import version_key, version_matches
 from lorespark.operators import bm25
+from lorespark.operators.catalog import cascade
 from lorespark.operators.dense import knn
 from lorespark.operators.fusion import best_per, quota_candidates, quotas, ranked, rrf
 from lorespark.plans._queries import Book
@@ -33,28 +34,26 @@ h as (select doc_id, round(sum({WEIGHT}::double * {IDF}), 6) score from p join d
 
 @q(f"with {STATS}, {TF} select n n_docs, (select count(distinct term) from p) n_terms, cast(sum_dl as bigint) sum_dl, round(avgdl, 6) avgdl from s")
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    terms = docs.select(F.explode(tokens("text")).alias("term")).distinct().agg(F.count("*")).scalar()
-    return bm25.corpus_stats(docs, "text").select("n_docs", terms.alias("n_terms"), "sum_dl", F.round("avgdl", 6).alias("avgdl"))
+    return _index(spark, d).stats()
+
+
+def _index(spark: SparkSession, d: str) -> bm25.Index:
+    return bm25.index_of(table(spark, d, "documents"), "doc_id", "text")
 
 
 @q(f"with {STATS}, {TF} select doc_id, term, {WEIGHT} weight from p, s")
 def bm25_doc_weights(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.doc_weights(table(spark, d, "documents"), "doc_id", "text")
+    return _index(spark, d).weights()
 
 
 @q(f"with {STATS}, {TF}, d as (select term, count(*) df from p group by 1) select term, df, {IDF} idf from d, s")
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    n = docs.agg(F.count(F.lit(1))).scalar()
-    # per document each term once, so the shuffle carries partial counts of terms only
-    df = docs.select(F.explode(F.array_distinct(tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.select("term", "df", bm25.idf(F.col("df"), n).alias("idf"))
+    return _index(spark, d).idf()
 
 
 @q(f"with {SCORED} select doc_id, score from h order by score desc, doc_id limit 10")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.search(table(spark, d, "documents"), "doc_id", "text", QUERY)
+    return _index(spark, d).search(QUERY)
 
 
 @q("""select doc_id from (select doc_id, regexp_extract_all(coalesce(text, ''), '[А-Яа-яA-Za-z][А-Яа-яA-Za-z0-9]{2,}') k from documents)
@@ -110,7 +109,7 @@ def _legs(spark: SparkSession, d: str, n_dense: int, n_sparse: int) -> tuple[Dat
     """Dense and keyword leg; vec_id + 100000 stands in for doc_id."""
     e = table(spark, d, "embeddings")
     dense = knn(e, "vec_id", "embedding", _query_vector(e), n_dense).select((F.col("vec_id") + 100000).alias("doc_id"), "score")
-    sparse = bm25.search(table(spark, d, "documents"), "doc_id", "text", QUERY, n_sparse)
+    sparse = _index(spark, d).search(QUERY, n_sparse)
     return ranked(dense, "doc_id", F.desc("score"), F.col("doc_id")), ranked(sparse, "doc_id", F.desc("score"), F.col("doc_id"))
 
 
@@ -138,12 +137,8 @@ r as (select doc_id, term, row_number() over (partition by term order by w desc,
 select doc_id, round(sum(1 / (60 + rank)), 9) rrf from r where rank <= 5 group by 1 order by rrf desc, doc_id limit 10""")
 def rrf_multi_token(spark: SparkSession, d: str) -> DataFrame:
     """Each term is a leg of its own with its five best documents."""
-    docs = table(spark, d, "documents")
-    avgdl = bm25.corpus_stats(docs, "text").select("avgdl").scalar()
-    cut = docs.select("doc_id", tokens("text").alias("t")).where(F.arrays_overlap("t", F.array(*map(F.lit, TERMS))))
-    hits = cut.select("doc_id", F.size("t").alias("dl"), F.explode(F.filter("t", lambda x: x.isin(TERMS))).alias("term"))
-    hits = hits.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    hits = hits.select("doc_id", "term", bm25.doc_weight(F.col("tf"), F.col("dl"), avgdl).alias("w"))
+    index = _index(spark, d)
+    hits = index.hits(TERMS).select("doc_id", "term", bm25.doc_weight(F.col("tf"), F.col("dl"), F.lit(index.avgdl)).alias("w"))
     best = hits.withColumn("rank", F.row_number().over(W.partitionBy("term").orderBy(F.desc("w"), "doc_id"))).where("rank <= 5")
     return rrf([best.select("doc_id", "rank")], "doc_id").orderBy(F.desc("rrf"), "doc_id").limit(10)
 
@@ -235,9 +230,9 @@ def _memory_all_sql(total: int) -> str:
     return _memory_sql(list(_LIMITS.items()), total, 60).replace(" order by item_id limit 60)", ")")
 
 
-def _shown(spark: SparkSession, d: str, total: int) -> DataFrame:
+def _shown(spark: SparkSession, d: str, total: int, limits: dict[str, int] = _LIMITS) -> DataFrame:
     m = table(spark, d, "skd_composition_result").select("item_id", text_or_empty("title").alias("title"), text_or_empty("type").alias("domain"), text_or_empty("description").alias("description"), text_or_empty("code_snippet").alias("code_snippet"))
-    return quotas(quota_candidates(m, "domain", "item_id", "title", _LIMITS, total), "domain", "item_id", "title", _LIMITS, total)
+    return quotas(quota_candidates(m, "domain", "item_id", "title", limits, total), "domain", "item_id", "title", limits, total)
 
 
 @q(f"with {_memory_all_sql(6)} select item_id, domain, place from e")
@@ -267,24 +262,87 @@ def code_answer_quota_all(spark: SparkSession, d: str) -> DataFrame:
     return marked.where(F.when(F.col("any"), F.col("hit")).otherwise(F.col("place") <= 2)).select("item_id", "place")
 
 
-def _section(name: str, tab: str, key: str, text: str) -> str:
+_WITH_HELP = {"reference": 1, "snippet": 1, "": 0}
+
+
+@q(f"""with {_memory_sql(list(_WITH_HELP.items()), 2, 60).replace(" order by item_id limit 60)", ")")}
+select item_id, place from e join skd_composition_result s using (item_id) where contains(lower(concat_ws(' ', e.title, coalesce(s.description, ''), coalesce(code_snippet, ''))), 'склад')""")
+def code_answer_with_help(spark: SparkSession, d: str) -> DataFrame:
+    """With help hits: two by quota out of the whole table, of these only the ones that hold a query token."""
+    hay = F.lower(F.concat_ws(" ", "title", "description", "code_snippet"))
+    return _shown(spark, d, 2, _WITH_HELP).where(F.contains(hay, F.lit("склад"))).select("item_id", "place")
+
+
+def _section(name: str, tab: str, key: str, text: str, limit: int, terms: list[str], filters: str = "true") -> str:
     t = TOK.format(x=text)
     return f"""select '{name}' section, id, score, row_number() over (order by score desc, id) place from (
 select id, round(sum({WEIGHT} * {IDF}), 6) score from (
   select *, sum(1) over (partition by term) df from (
     select {key} id, term, len(t) dl, len(list_filter(t, lambda x: x = term)) tf, avg(len(t)) over (partition by term) avgdl, count(*) over (partition by term) n
-    from (select {key}, {t} t from {tab}), (select unnest(['регистр', 'register', 'каталог']) term)) where tf > 0)
-group by id order by score desc, id limit 5)"""
+    from (select {key}, {t} t from {tab} where {filters}), (select unnest({terms!r}) term)) where tf > 0)
+group by id order by score desc, id limit {limit})"""
+
+
+#: Sections of the search over everything: table, key, text, hits shown for a limit of n.
+SECTIONS = {
+    "members": ("api_members", "id", "description", lambda n: n),
+    "objects": ("api_objects", "id", "description", lambda n: max(3, min(n, 6, max(4, n // 2)))),
+    "examples": ("skd_composition_result", "item_id", "description", lambda n: max(2, min(n, 4))),
+    "topics": ("api_topics", "id", "text", lambda n: max(4, min(n, 8))),
+}
+
+
+def search_sections(spark: SparkSession, d: str, query: str, limit: int = 10, version: str | None = None, language: str | None = None, examples: bool = True) -> DataFrame:
+    """(section, id, score, place): the best members, objects and examples; topics only if none of these has a hit.
+
+    version keeps records of this version or with it among their versions, language the records of that language; examples
+    have neither.
+    """
+    legs = {}
+    for name, (tab, key, text, most) in SECTIONS.items():
+        rows = table(spark, d, tab)
+        if version and "version" in rows.columns:
+            rows = rows.where(version_matches(F.trim("version"), F.col("versions") if "versions" in rows.columns else F.array().cast("array<string>"), version))
+        if language and "language" in rows.columns:
+            rows = rows.where(F.col("language") == language)
+        hits = bm25.search(rows.withColumn("id", F.col(key)), "id", text, query, most(limit))
+        legs[name] = hits.select(F.lit(name).alias("section"), "id", "score", F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("place"))
+    first = legs["members"].unionByName(legs["objects"])
+    return cascade([first.unionByName(legs["examples"]) if examples else first, legs["topics"]]).drop("leg")
+
+
+_WORDS = ["регистр", "register", "каталог"]
+
+
+def _sections_sql(terms: list[str], limit: int, version: str | None = None, language: str | None = None) -> str:
+    parts = {}
+    for name, (tab, key, text, most) in SECTIONS.items():
+        tests = ["true"]
+        if version and name != "examples":
+            tests.append(f"(trim(version) = '{version}'" + (f" or coalesce(list_contains(versions, '{version}'), false))" if name != "topics" else ")"))
+        if language and name != "examples":
+            tests.append(f"language = '{language}'")
+        parts[name] = _section(name, tab, key, text, most(limit), terms, " and ".join(tests))
+    head = " union all ".join(parts[n] for n in ("members", "objects", "examples"))
+    return f"with a as ({head}), t as ({parts['topics']}) select * from a union all select * from t where not exists (select 1 from a)"
+
+
+@q(_sections_sql(_WORDS, 10))
+def unified_search(spark: SparkSession, d: str) -> DataFrame:
+    """One query over members, objects and examples."""
+    return search_sections(spark, d, " ".join(_WORDS))
 
 
-@q(" union all ".join(_section(*x) for x in (("members", "api_members", "id", "description"), ("objects", "api_objects", "id", "description"), ("topics", "api_topics", "id", "text"))))
-def unified_search(spark: SparkSession, d: str) -> DataFrame:
-    """One query over members, objects and topics, five hits of each."""
-    out = []
-    for name, tab, text in (("members", "api_members", "description"), ("objects", "api_objects", "description"), ("topics", "api_topics", "text")):
-        hits = bm25.search(table(spark, d, tab), "id", text, "регистр register каталог", 5)
-        out.append(hits.select(F.lit(name).alias("section"), "id", "score", F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("place")))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+@q(_sections_sql(_WORDS, 5, "8.3.20.2290", "ru"))
+def unified_search_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The same in one version and language."""
+    return search_sections(spark, d, " ".join(_WORDS), 5, "8.3.20.2290", "ru")
+
+
+@q(_sections_sql(["возвращаемое", "каждого"], 10))
+def unified_search_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Words that stand in no member, object or example: the topics answer."""
+    return search_sections(spark, d, "возвращаемое каждого")
 
 
 @q("select doc_id, (select string_agg(trim(b, chr(10) || chr(13) || chr(9) || ' '), '|') from (select unnest(regexp_extract_all(text, '(?s)```\\w*\\s*\\n(.*?)```', 1)) b)) code from documents where text like '%```%' and len(regexp_extract_all(text, '(?s)```\\w*\\s*\\n(.*?)```', 1)) > 0")

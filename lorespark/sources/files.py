@@ -6,11 +6,11 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorespark.functions.text import text_or_empty
+from lorespark.functions.text import let, text_or_empty
 from lorespark.sources import parsers as P
 
 # The five tables of a snapshot: one typed schema each.
@@ -33,21 +33,29 @@ def never_null(df: DataFrame) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Lines of JSON; blank lines are skipped, broken ones give a row of nulls and are left out."""
+    """Lines of JSON; blank lines are skipped, broken ones are left out (broken_lines() counts them)."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def broken_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(n, first_line) of the lines that are neither blank nor JSON of this schema."""
+    row = F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    lines = spark.read.text(path).where(F.trim("value") != "").select(row["_broken"].alias("_broken"))
+    return lines.agg(F.count("_broken").alias("n"), F.min("_broken").alias("first_line"))
+
+
 def load_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: never_null(read_jsonl(spark, f"{path}/{name}.jsonl", schema)) for name, schema in SNAPSHOT.items()}
 
 
 def write_snapshot(tables: dict[str, DataFrame], path: str, form: str) -> dict:
-    """Write each table as lines of JSON and a manifest with the counts; the manifest comes last and marks the end."""
+    """Write each table as lines of JSON, counted on the way, and a manifest with the counts that marks the end."""
     counts = {}
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        df.write.mode("overwrite").json(f"{path}/{name}.jsonl")
-        counts[name] = spark.read.text(f"{path}/{name}.jsonl").count()
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{path}/{name}.jsonl")
+        counts[name] = int(seen.get["n"])
     manifest = {"format": form, "counts": counts}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest.json")
     return manifest
@@ -183,17 +191,32 @@ def read_snippets(spark: SparkSession, path: str, per_function_min_lines: int |
     return whole.unionByName(named.where("code_snippet <> ''"))
 
 
-@arrow_udf("struct<title string, description string>")
-def _standard(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"title": text.map(lambda x: P.first_heading(x or "")), "description": text.map(lambda x: P.first_paragraph(x or ""))})
+def first_heading(text: Column) -> Column:
+    """The first heading of the first level; '' if there is none."""
+    return F.trim(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1))
+
+
+def first_paragraph(text: Column, enough: int = 200, most: int = 300) -> Column:
+    """The first run of lines that are neither blank nor headings, lists or tables, up to the line that makes `enough` characters."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    ends = lambda x: (x == "") | F.substring(x, 1, 1).isin("#", "|", "-")
+    run = lambda x: F.slice(x, 1, F.coalesce(F.nullif(F.array_position(F.transform(x, ends), True), F.lit(0)).cast("int") - 1, F.size(x)))
+    start = lambda x: F.slice(x, F.greatest(F.array_position(F.transform(x, ends), False).cast("int"), F.lit(1)), F.size(x))
+    words = let(let(lines, start), run)
+    kept = let(words, lambda w: F.filter(w, lambda x, i: (i == 0) | (F.length(F.array_join(F.slice(w, 1, i), " ")) < enough)))
+    return F.trim(F.substring(F.array_join(kept, " "), 1, most))
 
 
 def read_standards(spark: SparkSession, path: str) -> DataFrame:
     """(title, description, instruction, source_ref) of Markdown files: first heading (or file name), first paragraph."""
     files = read_files(spark, path, "*.md").select("path", decode_bytes("content").alias("text")).where("trim(text) <> '' and not lower(path) like '%readme.md'")
-    made = files.withColumn("s", _standard("text"))
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
-    return made.select(F.coalesce(F.nullif(F.col("s.title"), F.lit("")), stem).alias("title"), F.col("s.description").alias("description"), F.col("text").alias("instruction"), F.col("path").alias("source_ref"))
+    return files.select(F.coalesce(F.nullif(first_heading(F.col("text")), F.lit("")), stem).alias("title"), first_paragraph(F.col("text")).alias("description"), F.col("text").alias("instruction"), F.col("path").alias("source_ref"))
+
+
+def too_large(files: DataFrame, most: int = P.MAX_FILE) -> DataFrame:
+    """(n, bytes) of the files that decode_bytes() leaves out for their size; files has the column length."""
+    return files.where(F.col("length") > most).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
 def split_by_type(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -236,20 +259,45 @@ def counts_by_extension(files: DataFrame) -> DataFrame:
     return files.groupBy(ext.alias("extension")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
 
+def recover_staged(spark: SparkSession, path: str) -> str | None:
+    """Finish or undo a staged_write() that was interrupted: `finished`, `undone` or None if there was nothing to do.
+
+    A new table counts as whole if its marker says so; then it takes the place of the old one. Otherwise what is left of
+    it is removed and the old table stays, or comes back if it had been put aside.
+    """
+    jvm = spark._jvm
+    where = lambda s: jvm.org.apache.hadoop.fs.Path(s)
+    fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, old, marker = where(f"{path}.new"), where(f"{path}.old"), where(f"{path}.swap")
+    done = None
+    if fs.exists(marker) and fs.exists(new):
+        if fs.exists(where(path)):
+            fs.delete(old, True)
+            fs.rename(where(path), old)
+        fs.rename(new, where(path))
+        done = "finished"
+    elif fs.exists(new) or fs.exists(old):
+        if fs.exists(old) and not fs.exists(where(path)):
+            fs.rename(old, where(path))
+        done = None if fs.exists(marker) else "undone"
+    fs.delete(new, True)
+    fs.delete(old, True)
+    fs.delete(marker, True)
+    return done
+
+
 def staged_write(df: DataFrame, path: str) -> None:
-    """Write beside the target, then rename: a reader sees the old table or the new one, never a part."""
+    """Write beside the target, set a marker, then swap by two renames.
+
+    Between the renames no table is at `path`; a reader that meets this, or the next writer after a crash, calls
+    recover_staged(), which ends in the new table if it was whole and in the old one if not.
+    """
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    where = lambda s: jvm.org.apache.hadoop.fs.Path(s)
-    fs = where(path).getFileSystem(conf)
-    new, old = f"{path}.new", f"{path}.old"
-    for p in (new, old):
-        fs.delete(where(p), True)
-    df.write.parquet(new)
-    if fs.exists(where(path)):
-        fs.rename(where(path), where(old))
-    fs.rename(where(new), where(path))
-    fs.delete(where(old), True)
+    recover_staged(spark, path)
+    df.write.parquet(f"{path}.new")
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.swap")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True).close()
+    recover_staged(spark, path)
 
 
 def page_link_rows(records: DataFrame, known: Column | None = None) -> DataFrame:

@@ -48,14 +48,14 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def save_counting(self, df: DataFrame, then: Callable[[DataFrame], DataFrame] | None = None, **counts: Column) -> tuple[DataFrame, dict]:
+    def save_counting(self, df: DataFrame, then: Callable[[DataFrame], DataFrame] | None = None, *partition_by: str, **counts: Column) -> tuple[DataFrame, dict]:
         """save() of df, or of then(df), that also counts over df on the way, without another pass over the rows.
 
         Counts come back as int (0 for null), aggregates that give an array as a list.
         """
         seen = Observation()
         counted = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
-        out = self.save(then(counted) if then else counted)
+        out = self.save(then(counted) if then else counted, *partition_by)
         out_counts = seen.get
         return out, {k: v if isinstance(v := out_counts.get(k), list) else int(v or 0) for k in counts}
 

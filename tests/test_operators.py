@@ -12,7 +12,7 @@ from lorespark.operators.merge import content_merge, key_changes, to_load, upser
 from lorespark.operators.quality import coverage, latency
 from lorespark.operators.records import build_records, merge_members, resolve_links
 from lorespark.operators.surface import candidates, owner_alias_members
-from lorespark.plans.planner import classify, plan
+from lorespark.plans.planner import plan, plans
 
 
 def values(spark, given, column, kind="string"):
@@ -129,8 +129,36 @@ def test_surface_and_plan(spark):
     assert candidates("") == []
     m = spark.createDataFrame([(1, "Форма", "Элементы", "Форма.Элементы", "property", "Тип: ВсеЭлементы, Число."), (2, "ВсеЭлементы", "Найти", "ВсеЭлементы.Найти", "method", None), (3, "Запрос", "Найти", "Запрос.Найти", "method", None)], "id int, owner_name string, member_name string, full_name string, kind string, returns string")
     assert [r.id for r in owner_alias_members(m, "Элементы", "Найти").collect()] == [2]
-    assert [classify(x) for x in ("", "Метаданные.Документы", "Запрос.Найти", "стандарт имён", "как получить", "документ заказ", "xyz")] == ["mixed_task", "metadata_surface_chain", "platform_surface_chain", "standards_or_snippets", "conceptual_help", "metadata_exact", "mixed_task"]
-    assert plan("Запрос.Найти").candidates == ["Запрос.Найти", "Запрос", "Найти"]
+    asked = ["", "Метаданные.Документы", "Запрос.Найти", "стандарт имён", "как получить", "документ заказ", "xyz", None, "Чем заменить Найти"]
+    got = plans(spark.createDataFrame([(x,) for x in asked], "x string"), "x").collect()
+    assert [r.route for r in got] == ["mixed_task", "metadata_surface_chain", "platform_surface_chain", "standards_or_snippets", "conceptual_help", "metadata_exact", "mixed_task", "mixed_task", "conceptual_help"]
+    assert [r.kind for r in got] == ["general"] * 4 + ["example", "general", "general", "general", "restriction"]
+    assert [r.confidence for r in got] == [0.25, 0.85, 0.85, 0.35, 0.35, 0.35, 0.25, 0.25, 0.7]
+    assert plan(spark, "Запрос.Найти").candidates == ["Запрос.Найти", "Запрос", "Найти"]
+
+
+def test_term_counts_and_index(spark):
+    rows = [(1, "яблоко яблоко груша"), (2, "груша Груша груша, x"), (3, None), (4, ""), (None, "яблоко"), (5, "слива")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("term", F.lit("clash"))
+    flat = {(r.doc_id, r.term): (r.tf, r.dl) for r in bm25.postings(docs, "doc_id", "text").collect()}
+    assert flat == {(1, "груша"): (1, 3), (1, "яблоко"): (2, 3), (2, "груша"): (3, 3), (None, "яблоко"): (1, 1), (5, "слива"): (1, 1)}
+    index = bm25.Index(docs, "doc_id", "text", buckets=3)
+    assert (index.n_docs, index.sum_dl) == (6, 8) and index.postings.count() == 5
+    for query in ("груша яблоко", "слива", "нет", "", "яблоко яблоко"):
+        want = [tuple(r) for r in bm25.search(docs, "doc_id", "text", query).collect()]
+        assert [tuple(r) for r in index.search(query).collect()] == want
+    assert bm25.Index(docs.limit(0), "doc_id", "text").search("груша").collect() == []
+
+
+def test_chain(spark):
+    from lorespark.operators.graph import chain
+
+    links = {"a": "b", "b": "c", "c": "a", "x": "a", "z": "z", **{f"n{i}": f"n{i + 1}" for i in range(12)}}
+    df = spark.createDataFrame(list(links.items()) + [(None, "a")], "a string, b string")
+    got = {}
+    for r in chain(df, spark.createDataFrame([("x",), ("z",), ("n0",), ("lost",), (None,)], "seed string"), 8).collect():
+        got.setdefault(r.seed, {})[r.step] = r.node
+    assert got == {"x": dict(enumerate("xabc")), "z": {0: "z"}, "n0": {i: f"n{i}" for i in range(8)}, "lost": {0: "lost"}}
 
 
 def test_places(spark):

@@ -63,6 +63,7 @@ def test_html_markdown():
     assert P.parameter_lines("**А** (Число) — текст\n- <Б>\nТип: Строка\nпояснение\nпросто") == [
         {"name": "А", "type": "Число", "description": "текст"}, {"name": "<Б>", "type": "Строка", "description": "пояснение"}, {"name": "просто", "type": "", "description": ""},
     ]
+    assert P.parameter_lines("<А> (обязательный) Тип: Строка . Имя поля.\n<Б>\n(необязательный) без типа") == [{"name": "<А>", "type": "Строка", "description": "Имя поля."}, {"name": "<Б>", "type": "—", "description": "<Б> (необязательный) без типа"}]
 
 
 def test_modules_and_forms():
@@ -91,6 +92,10 @@ def test_readers(spark, tmp_path):
     (root / "s" / "n.md").write_text("---\ntitle: 'Имя'\ndescription: d\n---\ntext\n```bsl\nX = 1;\n```\n")
     (root / "s" / "README.md").write_text("```bsl\nY\n```")
     (root / "s" / "st.md").write_text("# Стандарт\n\nПервый абзац\nещё.\n\n- список")
+    texts = ["# A\n\n- x\n# B\nодин\n два \n\nтри", "", "без заголовка", "| t |\n" + "\n".join(["x" * 90] * 5), "#"]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", S.first_heading(F.col("t")).alias("h"), S.first_paragraph(F.col("t")).alias("p"))
+    assert [(r.h, r.p) for r in made.orderBy("i").collect()] == [("A", "один два"), ("", ""), ("", "без заголовка"), ("", " ".join(["x" * 90] * 3)), ("", "")]
+    assert S.too_large(S.read_files(spark, str(root)), 5).first().n > 0
     snips = {(r.title, r.source_ref) for r in S.read_snippets(spark, str(root / "s")).collect()}
     assert snips == {("m", "m.bsl"), ("Имя", "n.md")}
     assert {r.title for r in S.read_snippets(spark, str(root / "s"), 3).collect()} == {"m.А", "m.Б", "Имя"}
@@ -112,6 +117,15 @@ def test_snapshot_and_sinks(spark, tmp_path):
     for n in (3, 5):
         S.staged_write(spark.range(n), path)
         assert spark.read.parquet(path).count() == n
+    # a crash before the swap leaves the old table, one in the middle of it ends in the new one
+    spark.range(7).write.parquet(path + ".new")
+    assert S.recover_staged(spark, path) == "undone" and spark.read.parquet(path).count() == 5
+    spark.range(7).write.parquet(path + ".new")
+    (tmp_path / "table.swap").touch()
+    (tmp_path / "table").rename(tmp_path / "table.old")
+    assert S.recover_staged(spark, path) == "finished" and spark.read.parquet(path).count() == 7 and S.recover_staged(spark, path) is None
+    (d / "bad.jsonl").write_text('{"id": 1}\n\n{"id": \nx\n')
+    assert S.broken_lines(spark, str(d / "bad.jsonl"), "id long").first().n == 2 and S.read_jsonl(spark, str(d / "bad.jsonl"), "id long").count() == 1
     items = spark.createDataFrame([("reference",), ("snippet",), (None,)], "type string")
     assert [x.count() for x in S.split_by_type(items)] == [1, 2]
     hbk = spark.createDataFrame([("8.3.20/a_ru.hbk",), ("8.3.20/b_en.hbk",), ("8.3.20/c.txt",)], "path string")
