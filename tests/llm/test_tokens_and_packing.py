@@ -105,15 +105,13 @@ def test_mixture_is_kept():
 
 
 def test_rare_source_over_many_shards(spark):
-    """A source of three items in ten shards: what it is owed by the shards without it comes with its first item."""
-    items = [(i, 100, "big") for i in range(2000)] + [(9000 + i, 100, "rare") for i in range(3)]
+    """Sources of one item in eleven shards: what they are owed by the shards without them brings the item into the first window."""
+    items = [(i, 100, "big") for i in range(2000)] + [(9000 + i, 100, f"rare{i}") for i in range(8)]
     df = spark.createDataFrame(items, "doc_id long, n_tokens long, source string")
     rows = pack(df, capacity=1000, shard_items=200).collect()
-    assert len(rows) == 2003 and len({r.container.split("-")[0] for r in rows}) == 11
-    # its share of the tokens packed before is more than what it had, so it is first or second in the first window that can take it
-    for r in rows:
-        if r.doc_id >= 9000 and int(r.container.split("-")[0]) > 3:
-            assert int(r.container.split("-")[1]) <= 1, r
+    assert len(rows) == 2008 and len({r.container.split("-")[0] for r in rows}) == 11
+    late = [r.container for r in rows if r.doc_id >= 9000 and not r.container.startswith("0-")]
+    assert len(late) > 4 and all(c.endswith("-0") for c in late)
 
 
 def test_target_mixture(spark):
