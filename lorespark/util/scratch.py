@@ -12,6 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
@@ -56,7 +57,10 @@ class Scratch:
         seen = Observation()
         counted = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
         out = self.save(then(counted) if then else counted, *partition_by)
-        out_counts = seen.get
+        try:
+            out_counts = seen.get
+        except Py4JJavaError:  # nothing was observed: the optimizer found df to be empty
+            out_counts = df.agg(*[c.alias(k) for k, c in counts.items()]).first().asDict()
         return out, {k: v if isinstance(v := out_counts.get(k), list) else int(v or 0) for k in counts}
 
     def drop(self, *tables: DataFrame) -> None:
