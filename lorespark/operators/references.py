@@ -19,7 +19,7 @@ def _classify(refs: DataFrame, parents: DataFrame, scratch: Scratch) -> DataFram
     is joined.
     """
     parents, n = scratch.save_counting(parents, k=F.count(F.lit(1)))
-    bloom = Bloom(parents, F.col("k"), n["k"], scratch)
+    bloom = Bloom(parents, F.col("k"), n["k"])
     maybe = F.when(F.col("_maybe"), F.col("k"))
     probed, n = scratch.save_counting(bloom.mark(refs, F.col("k")), k=F.count(maybe), hot=sketch(maybe))
     orphans = probed.where("not _maybe").drop("_maybe")

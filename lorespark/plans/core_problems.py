@@ -51,7 +51,7 @@ def _trees(spark: SparkSession, d: str, scratch: Scratch | None = None, labels:
     label = F.struct(F.col("label").alias("title_ru"), F.lit(None).cast("string").alias("title_en")) if labels else F.lit(None)
     catalog = _catalog_nodes(spark, d).select(mark("p", "node"), mark("p", "parent"), label.cast(_LABEL).alias("label"), *rest)
     toc = _toc_nodes(spark, d).select(mark("t", "node"), mark("t", "parent"), F.col("label").cast(_LABEL).alias("label"), *[F.lit(None).cast(catalog.schema[c].dataType).alias(c) for c in rest])
-    return Hierarchy(catalog.unionByName(toc), scratch, rest)
+    return Hierarchy(catalog.unionByName(toc), scratch, [*rest, "label"])
 
 
 def _tab(node: str) -> tuple[Column, Column]:
@@ -158,7 +158,24 @@ t as (select id, title_ru, title_en, cast([] as varchar[]) ru, cast([] as varcha
       union all select c.id, c.title_ru, c.title_en, list_append(t.ru, t.title_ru), list_append(t.en, t.title_en) from toc_chunks c join t on c.parent_id = t.id)
 """
 
+# nodes of both trees with the latest parent and label
+_NODES = f"""pr as (select {_guid("ref")} r, arg_max({{'o': {_guid("owner")}, 'n': name}}, (loaded_at, row_id)) x from catalog_properties where {_guid("ref")} is not null group by 1),
+ob as (select {_guid("ref")} r, arg_max({{'n': name}}, (loaded_at, coalesce(name, ''))) x from catalog_objects where {_guid("ref")} is not null group by 1),
+cf as (select {_guid("config_ref")} r, arg_max({{'n': config_name}}, (delivered_at, config_name)) x from crawl_results where {_guid("config_ref")} is not null group by 1),
+n as (select 'catalog_properties' tab, r, x.o o, x.n nm from pr union all select 'catalog_properties', r, null, x.n from ob where r not in (select r from pr)
+union all select 'catalog_properties', r, null, x.n from cf where r not in (select r from pr) and r not in (select r from ob)
+union all select 'toc_chunks', cast(id as varchar), cast(nullif(parent_id, 0) as varchar), title_ru from toc_chunks)"""
+
 ORACLE = {
+    "p4_paths": f"""with recursive {_NODES},
+w as (select tab, r node, r root, 0 as depth, coalesce(nm, '?') as path, o is not null dangling from n where o is null or not exists (select 1 from n m where m.tab = n.tab and m.r = n.o)
+union all select n.tab, n.r, w.root, w.depth + 1, w.path || '/' || coalesce(n.nm, '?'), w.dangling from n join w on n.tab = w.tab and n.o = w.node)
+select tab, node, root, depth, path, false as cyclic, dangling from w union all select tab, r, null, null, null, true, false from n where not exists (select 1 from w where w.tab = n.tab and w.node = n.r)""",
+    "p4_descendants": f"""with recursive {_NODES},
+e as (select n.tab, n.r, n.o from n join n m on m.tab = n.tab and m.r = n.o),
+w as (select tab, o ancestor, r node, 1 as distance, [r, o] seen from e where o <> r
+union all select w.tab, e.o, w.node, w.distance + 1, list_append(w.seen, e.o) from w join e on e.tab = w.tab and e.r = w.ancestor where not list_contains(w.seen, e.o))
+select tab, ancestor, node, distance from w""",
     "p2_found": _P2 + "select s.c config_name, s.v config_version, id, change from x join s using (c, o) where change is not null",
     "p2_summary": _P2 + "select s.c config_name, s.v config_version, change, count(*) n from x join s using (c, o) where change is not null group by all",
     "p4_found": _P4
