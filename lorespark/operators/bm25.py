@@ -30,7 +30,7 @@ def term_counts(found: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         return let(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("int").alias("tf"))))
 
-    return let(F.array_sort(found), lambda s: F.when(F.size(s) > 0, cut(s)).otherwise(F.array().cast("array<struct<term:string,tf:int>>")))
+    return let(F.sort_array(found), lambda s: F.when(F.size(s) > 0, cut(s)).otherwise(F.array().cast("array<struct<term:string,tf:int>>")))
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -93,9 +93,11 @@ class Index:
     frequent term is spread over several files of its folder. A null text has no terms and counts as a document.
     """
 
-    def __init__(self, docs: DataFrame, key: str, text: str, scratch: Scratch | None = None, buckets: int = 32, files: int = 4):
+    def __init__(self, docs: DataFrame, key: str, text: str, scratch: Scratch | None = None, buckets: int = 16):
         self.key, self.buckets = key, buckets
         cut = docs.select(F.col(key), let(tokens(text), lambda t: F.struct(F.size(t).alias("dl"), term_counts(t).alias("terms"))).alias("_s"))
+        # as many parts of a folder as there are tasks for it
+        files = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
         bucket, part = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), F.pmod(F.xxhash64(key), F.lit(files))
 
         def flat(df: DataFrame) -> DataFrame:
