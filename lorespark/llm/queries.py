@@ -12,7 +12,7 @@ from lorespark.llm.packing import containers, pack
 from lorespark.llm.repeats import MIN_UNIT, remove_repeats, repeated_units
 from lorespark.llm.spans import SharedSpans
 from lorespark.llm.splitting import split_oversized
-from lorespark.llm.survivors import filled_count, survivors
+from lorespark.llm.survivors import survivors
 from lorespark.llm.tokenizer import count_tokens, encode_corpus
 from lorespark.plans.tables import table
 from lorespark.util.scratch import Scratch
@@ -62,32 +62,36 @@ _TOPIC_FIELDS = ["path", "title", "text", "version", "language", "entity_type",
 _MEMBER_FIELDS = ["owner_name", "member_name", "full_name", "kind", "summary", "description", "syntax", "version", "versions", "returns", "language", "params", "loaded_at"]
 
 
-def _topics(spark: SparkSession, d: str, fields: list[str]) -> DataFrame:
-    t = table(spark, d, "api_topics")
-    standing = [version_key("version"), filled_count(t, ["title", "text", "entity_type", "breadcrumb"])]
-    return survivors(t, page_key("path"), "id", standing, fields, trust=_trust())
+def _topics(spark: SparkSession, d: str, **how) -> DataFrame:
+    standing = [version_key("version"), ["title", "text", "entity_type", "breadcrumb"]]
+    return survivors(table(spark, d, "api_topics"), page_key("path"), "id", standing, _TOPIC_FIELDS, trust=_trust(), **how)
 
 
-def _members(spark: SparkSession, d: str, fields: list[str]) -> DataFrame:
-    m = table(spark, d, "api_members")
+def _members(spark: SparkSession, d: str, **how) -> DataFrame:
     highest = F.array_max(F.transform(F.array_append(F.coalesce("versions", F.array().cast("array<string>")), F.col("version")), version_key))
-    standing = [highest, filled_count(m, ["summary", "description", "syntax", "returns"])]
+    standing = [highest, ["summary", "description", "syntax", "returns"]]
     name = F.when(F.col("full_name").isNotNull(), F.to_json(F.struct(F.lower(F.regexp_replace("full_name", r"(?U)\s+", "")).alias("n"), F.col("language").alias("l"))))
-    return survivors(m, name, "id", standing, fields, trust=_trust())
+    return survivors(table(spark, d, "api_members"), name, "id", standing, _MEMBER_FIELDS, trust=_trust(), **how)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of several records with the record that wins the vote; no other field is unpivoted."""
-    parts = [f(spark, d, []).where("n > 1").select(F.lit(t).alias("tab"), "group_id", "best_id") for t, f in (("api_topics", _topics), ("api_members", _members))]
+    """Groups of several records with the record that wins the vote, read off the surviving records.
+
+    These are voted for field by field as in p5_topics and p5_members, and kept as the keys of the records that each field
+    is taken from: they are written, so that no vote is optimized away.
+    """
+    scratch = Scratch(spark)
+    made = [(t, scratch.save(f(spark, d, sources=True, scratch=scratch))) for t, f in (("api_topics", _topics), ("api_members", _members))]
+    parts = [s.where("n > 1").select(F.lit(t).alias("tab"), "group_id", "best_id") for t, s in made]
     return parts[0].unionByName(parts[1])
 
 
 def p5_topics(spark: SparkSession, d: str) -> DataFrame:
-    return _topics(spark, d, _TOPIC_FIELDS)
+    return _topics(spark, d)
 
 
 def p5_members(spark: SparkSession, d: str) -> DataFrame:
-    return _members(spark, d, _MEMBER_FIELDS)
+    return _members(spark, d)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -174,3 +174,40 @@ def test_survivors_have_all_fields(spark):
         alone = got.where("n = 1").join(records.select(F.col("id").alias("best_id"), *[F.col(c).cast("string").alias(f"_{c}") for c in (key, only, "language", "loaded_at")]), "best_id").collect()
         assert alone and all(r[c] == r[f"_{c}"] for r in alone for c in (key, only, "language", "loaded_at") if (r[f"_{c}"] or "").strip())
         assert got.where(F.col(key).isNull()).count() == 0
+
+
+def test_votes_of_fields_for_their_record(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [
+        ("g", 3, "1.2", "Old  Title", None, [], t), ("g", 2, "1.10", "new title", " ", ["x"], t), ("g", 5, None, "OLD TITLE", "b", None, t), ("g", 9, "1.10", None, None, ["y", "z"], None),
+        ("h", 7, None, None, None, None, None), ("i", 4, "1", "a", None, None, t), ("i", 4, "1", "a", None, None, t), ("i", 6, "1", "A", "b", None, None),
+    ]
+    df = spark.createDataFrame(rows, "grp string, id long, version string, f string, body string, tags array<string>, loaded_at timestamp")
+    standing = [version_key("version"), ["f", "body", "tags"]]
+    got = {r.group_id: tuple(r)[1:] for r in survivors(df, F.col("grp"), "id", standing, ["f", "body", "tags"], sources=True).collect()}
+    # the records that the winners are taken from; a record delivered twice has no more votes than once
+    assert got == {2: (2, 4, 3, 5, 2), 7: (7, 1, None, None, None), 4: (6, 3, 6, 6, None)}
+    values = {r.group_id: tuple(r)[1:] for r in survivors(df, F.col("grp"), "id", standing, ["f", "body", "tags"]).collect()}
+    assert values == {2: (2, 4, "Old  Title", "b", '["x"]'), 7: (7, 1, None, None, None), 4: (6, 3, "A", "b", None)}
+
+
+@data
+def test_found_is_read_off_the_surviving_records(spark, monkeypatch):
+    made, save = [], q.Scratch.save
+    monkeypatch.setattr(q.Scratch, "save", lambda self, df, *by: made.append(save(self, df, *by)) or made[-1])
+    found = {tuple(r) for r in q.p5_found(spark, SF).collect()}
+    made = [m for m in made if "best_id" in m.columns]
+    assert len(made) == 2
+    for winners, full, name in zip(made, (q.p5_topics(spark, SF), q.p5_members(spark, SF)), ("api_topics", "api_members")):
+        assert winners.columns == full.columns  # every field was voted for
+        records = {r.id: r for r in spark.read.parquet(f"{SF}/{name}.parquet").collect()}
+        full = {r.group_id: r for r in full.collect()}
+        winners = winners.collect()
+        assert {(name, r.group_id, r.best_id) for r in winners if r.n > 1} == {r for r in found if r[0] == name}
+        for r in winners:
+            for c in set(winners[0].asDict()) - {"group_id", "best_id", "n"}:
+                value = None if r[c] is None else records[r[c]][c]
+                if isinstance(value, (str, type(None))):
+                    assert value == full[r.group_id][c]
+                else:
+                    assert full[r.group_id][c] is not None
